@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import binary_store, bpe, language, lines, packing, quality, topk
+from helixframe.llm import binary_store, bpe, language, lines, packing, quality, topk, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op7_language": language.op7_language,
     "op8_token_store": binary_store.op8_token_store,
+    "op9_substring_dedup": windows.op9_substring_dedup,
     "op10_top_k": topk.op10_top_k,
 }
 SQL: dict[str, str] = {"op1_quality": quality.OP1_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_top_k": topk.OP10_SQL}
