@@ -169,13 +169,13 @@ class Dealt:
     blocks: int
 
     def send(self, f: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        return self.docs.groupBy("blk").applyInArrow(f, SENT)
+        return self.docs.groupBy("blk").applyInArrow(lambda t: f(t), SENT)
 
     def ask(self, rows: DataFrame, f: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        return rows.groupBy("bucket").applyInArrow(f, ANSWER)
+        return rows.groupBy("bucket").applyInArrow(lambda t: f(t), ANSWER)
 
     def give(self, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-        return self.docs.groupBy("blk").cogroup(right.groupBy("blk")).applyInArrow(f, schema)
+        return self.docs.groupBy("blk").cogroup(right.groupBy("blk")).applyInArrow(lambda left, right: f(left, right), schema)
 
 
 def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Dealt:
