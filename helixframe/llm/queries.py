@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import binary_store, bpe, language, lines, minhash, packing, quality, topk, windows
+from helixframe.llm import binary_store, bpe, language, lines, minhash, packing, quality, repeats, topk, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_repeated_substrings": repeats.op3_repeated_substrings,
     "op4_best_fit": packing.op4_best_fit,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_near_duplicates": minhash.op6_near_duplicates,

@@ -1,8 +1,17 @@
-"""Exact repeated substrings of documents' bytes.
+"""Exact repeated substrings of documents' bytes, by merging the Burrows-Wheeler transforms of shards.
 
-In every window of `length` bytes one run of GRAM bytes is marked: the one with the smallest hash. Equal windows have equal marks. So a
-window can only repeat if its mark does: marks, about one in 70 bytes, are counted over the corpus first, and then, exactly (64 bits), the
-windows whose mark repeats. Both are one exchange of hashes (see blocks)."""
+In every window of `length` bytes one run of GRAM bytes is marked: the one with the smallest hash. Equal windows have equal marks, at the
+same place. So a window can only repeat if its mark does. Marks, about one in 70 bytes, are counted over the corpus first.
+
+The windows of one occurrence of a mark that repeats lie within a stretch of 2 * length - GRAM bytes around it. Stretches go to buckets by their mark's hash. A
+block of documents is a shard: it sends each bucket the positional Burrows-Wheeler transform of its stretches, lined up at their marks, that is, for each column
+from the right the symbols before the suffixes, in the suffixes' order. A bucket merges all shards' transforms without their
+texts: an interleave of the shards is refined column by column, by a stable partition on the symbols that each shard reads next, and the
+lengths of common prefixes of neighbours are carried along. After a column, neighbours with `length` or more in common are repeated
+intervals; their windows are reported to the blocks that sent them. No suffixes are sorted again.
+
+A mark with more than HOT occurrences (a passage that is everywhere) would meet in one bucket; its windows are compared by hashes of 64 bits instead,
+dealt by their own hash. Within a block, a stretch that occurs often is sent once."""
 
 from __future__ import annotations
 
@@ -15,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from helixframe.llm.blocks import BASE, TABLE, Dealt, answered, answers, deal, mix, powers, sent
+from helixframe.llm.blocks import BASE, TABLE, Dealt, answered, answers, bucket_edges, deal, mix, powers, sent
 from helixframe.llm.common import documents
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM, HOT = 200, 64, 4096
+PAD = 255  # no byte of UTF-8
+ROWS = 8192
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -77,12 +88,58 @@ def bytes_of(parts: list[bytes | None], length: int) -> Bytes:
     return Bytes(buffer, first, sums, at, (least[at] & LOW).astype(np.int64), length, gram)
 
 
+def transform(stretches: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Of rows that are in order of their buckets: for each column the symbols there, in the order of what follows them (within a bucket)."""
+    columns = np.ascontiguousarray(stretches.T)
+    out, order = np.empty_like(columns), np.arange(columns.shape[1])
+    base = np.cumsum(np.diff(bucket, prepend=bucket[:1]) != 0)
+    base = base.astype(np.uint16 if base.max(initial=0) < 256 else np.uint32) << 8
+    for j in range(len(columns) - 1, -1, -1):
+        out[j] = columns[j][order]
+        order = order[np.argsort(base + out[j], kind="stable")]
+    return out
+
+
+def merged(shards: list[np.ndarray], length: int) -> np.ndarray:
+    """Merge shards' transforms (columns by rows). Gives, for each column that a window of `length` can start at and each row (shard by
+    shard, in the order they were sent), whether the window there occurs in another row."""
+    symbols = np.concatenate(shards, axis=1)
+    width, n = symbols.shape
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) < 1 << 16 else np.uint32), [x.shape[1] for x in shards])
+    row, common = np.arange(n, dtype=np.int32), np.zeros(n + 1, np.int16)  # common[i]: of the i-th with the one before it
+    out = np.zeros((width - length + 1, n), bool)
+    for j in range(width - 1, -1, -1):
+        own = np.empty(n, np.uint8)
+        own[np.argsort(shard, kind="stable")] = symbols[j]  # each shard's symbols in turn
+        order = np.argsort(own, kind="stable")
+        sorted_own, a, b = own[order], order[:-1], order[1:]
+        same = (sorted_own[1:] == sorted_own[:-1]) & (sorted_own[1:] != PAD)
+        after = np.zeros(n + 1, np.int16)
+        after[1:n] = np.where(same, np.where(b == a + 1, common[b] + 1, 1), 0)
+        far = np.flatnonzero(same & (b != a + 1))
+        if len(far):
+            # neighbours that others stood between have the least in common of all that stood there
+            group = np.cumsum(common[:n] == 0)
+            far = far[group[a[far]] == group[b[far]]]
+            edges = np.empty(2 * len(far), np.int64)
+            edges[0::2], edges[1::2] = a[far] + 1, b[far] + 1
+            if len(far):
+                after[far + 1] = np.minimum.reduceat(common, edges)[0::2] + 1
+        shard, row, common = shard[order], row[order], after
+        if j <= width - length:
+            long = common >= length
+            out[j, row[long[:-1] | long[1:]]] = True
+    return out
+
+
 class Repeats:
     """The two exchanges."""
 
-    def __init__(self, dealt: Dealt, length: int):
-        self.length, self.buckets = length, dealt.buckets
+    def __init__(self, dealt: Dealt, length: int, hot: int = HOT):
+        self.length, self.buckets, self.hot = length, dealt.buckets, hot
         self.bits = min(64, max(32, (dealt.blocks * (2 << 20) // 32).bit_length() + 6))
+        self.lead = length - min(GRAM, length)
+        self.width = self.lead + length
 
     def short(self, hashes: np.ndarray) -> np.ndarray:
         return hashes & np.uint64(((1 << self.bits) - 1) << (64 - self.bits))
@@ -93,39 +150,107 @@ class Repeats:
     def send_marks(self, table: pa.Table) -> pa.Table:
         b = self.read(table)
         hashes, counts = np.unique(self.short(b.hashes(b.marks()[0], b.gram)), return_counts=True)
-        return sent(table.column("blk")[0].as_py(), hashes, [np.minimum(counts, 2)], self.buckets)
+        return sent(table.column("blk")[0].as_py(), hashes, [counts], self.buckets)
 
     def count(self, table: pa.Table) -> pa.Table:
-        return answers(table, 1, lambda group, first, extras, blk: (np.add.reduceat(extras[0].astype(np.int64), first)[group] > 1).astype(np.uint8))
+        """1: the mark repeats; 2: it has more than HOT occurrences."""
+        def grade(group: np.ndarray, first: np.ndarray, extras: list[np.ndarray], blk: np.ndarray) -> np.ndarray:
+            n = np.add.reduceat(extras[0].astype(np.int64), first)[group]
+            return (n > 1).astype(np.uint8) + (n > self.hot)
 
-    def candidates(self, b: Bytes, answer: np.ndarray) -> np.ndarray:
-        """Starts of windows whose mark repeats."""
-        places, own = b.marks()
-        which = np.unique(self.short(b.hashes(places, b.gram)), return_inverse=True)[1]
-        return b.at[(answer[which] > 0)[own]] if len(b.at) else b.at
+        return answers(table, 1, grade)
 
-    def send_windows(self, left: pa.Table, right: pa.Table) -> pa.Table:
+    def send_stretches(self, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return sent(0, np.zeros(0, np.uint64), [np.zeros(0, np.uint64)], self.buckets)
-        b = self.read(left)
-        hashes, counts = np.unique(b.hashes(self.candidates(b, answered(right)), self.length), return_counts=True)
-        return sent(left.column("blk")[0].as_py(), hashes, [np.minimum(counts, 2)], self.buckets)
+            return sent(0, np.zeros(0, np.uint64), [], self.buckets)
+        c, blk = Candidates(self, self.read(left), answered(right)), left.column("blk")[0].as_py()
+        hashes, counts = np.unique(c.hot_hashes(), return_counts=True)
+        hot = sent(blk, hashes, [np.minimum(counts, 2)], self.buckets)
+        hot = hot.set_column(1, "bucket", pa.array(hot.column("bucket").to_numpy() + self.buckets, pa.int32()))
+        which, first = np.unique(c.bucket, return_index=True)
+        symbols = transform(c.stretches(), c.bucket)
+        rows = [symbols[:, a:z].tobytes() for a, z in zip(first.tolist(), [*first[1:].tolist(), len(c.bucket)], strict=True)] if len(which) else []
+        return pa.concat_tables([pa.table({"blk": pa.array([blk] * len(rows), pa.int64()), "bucket": pa.array(which, pa.int32()), "payload": pa.array(rows, pa.binary())}), hot])
+
+    def merge(self, table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= self.buckets:
+            return answers(table, 1, lambda group, first, extras, blk: (np.add.reduceat(extras[0].astype(np.int64), first)[group] > 1).astype(np.uint8))
+        table = table.sort_by("blk")
+        shards = [np.frombuffer(p.as_buffer(), np.uint8).reshape(self.width, -1) for p in table.column("payload")]
+        edges = np.cumsum([0, *(x.shape[1] for x in shards)]).tolist()
+        bits = np.packbits(merged(shards, self.length).T, axis=1)
+        return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "answer": pa.array([bits[a:z].tobytes() for a, z in zip(edges, edges[1:], strict=False)], pa.binary())})
 
     def gone(self, left: pa.Table, right: pa.Table) -> tuple[Bytes, np.ndarray]:
         """The bytes of a block, and whether each goes."""
         b = self.read(left)
-        at = self.candidates(b, answered(right, "marks"))
-        which = np.unique(b.hashes(at, self.length), return_inverse=True)[1]
-        at = at[answered(right, "windows")[which] > 0] if len(at) else at
+        kind, bucket = right.column("kind").to_numpy(), right.column("bucket").to_numpy()
+        of = lambda keep: answered(right.filter(pa.array(keep)))
+        c = Candidates(self, b, of(kind == "marks"))
+        at = c.repeated(of((kind == "windows") & (bucket < self.buckets)), of((kind == "windows") & (bucket >= self.buckets)))
         edge = np.zeros(len(b.buffer) + 1, np.int32)
         edge[at] += 1
         edge[at + self.length] -= 1
         return b, np.cumsum(edge)[:-1] > 0
 
 
+class Candidates:
+    """A block's windows whose mark repeats: `hot` ones, and stretches, each once, in order of bucket and hash."""
+
+    def __init__(self, r: Repeats, b: Bytes, answer: np.ndarray):
+        self.r, self.b = r, b
+        places, own = b.marks()
+        hashes = b.hashes(places, b.gram)
+        grade = answer[np.unique(r.short(hashes), return_inverse=True)[1]] if len(places) else np.zeros(0, np.uint8)
+        self.hot = b.at[grade[own] == 2] if len(places) else b.at
+        keep = np.flatnonzero(grade == 1)
+        low = b.at[np.searchsorted(own, keep)] if len(keep) else np.zeros(0, np.int64)
+        high = b.at[np.searchsorted(own, keep, side="right") - 1] if len(keep) else low
+        mark = places[keep]
+        with np.errstate(over="ignore"):
+            whole = (b.sums[high + r.length] - b.sums[low]) * powers(BASE, len(b.buffer))[1][low]
+            key = mix(mix(whole) + (mark - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        bucket = np.searchsorted(bucket_edges(r.buckets), hashes[keep], side="right") - 1
+        order = np.lexsort((key, bucket))
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
+        first = order[new]
+        self.which = np.empty(len(order), np.int64)  # of each occurrence
+        self.which[order] = np.cumsum(new) - 1
+        self.often = np.bincount(self.which, minlength=len(first)) > 1
+        self.low, self.high, self.mark = low, high, mark
+        self.first, self.bucket = first, bucket[first]
+
+    def hot_hashes(self) -> np.ndarray:
+        return self.b.hashes(self.hot, self.r.length)
+
+    def stretches(self) -> np.ndarray:
+        """Bytes around the marks, lined up at them."""
+        out = np.full((len(self.first), self.r.width), PAD, np.uint8)
+        columns = np.arange(self.r.width) - self.r.lead
+        for a in range(0, len(self.first), ROWS):
+            f = self.first[a : a + ROWS, None]
+            place = self.mark[f] + columns
+            inside = (place >= self.low[f]) & (place < self.high[f] + self.r.length)
+            part = out[a : a + ROWS]
+            part[inside] = self.b.buffer[place[inside]]
+        return out
+
+    def repeated(self, merged_bits: np.ndarray, hot_answer: np.ndarray) -> np.ndarray:
+        """Starts of the windows that occur elsewhere."""
+        starts = self.r.lead + 1
+        bits = np.unpackbits(merged_bits.reshape(-1, -(-starts // 8)), axis=1, count=starts).astype(bool)
+        bits |= self.often[:, None]
+        n = self.high - self.low + 1
+        of = np.repeat(np.arange(len(n)), n)
+        at = np.repeat(self.low - (np.cumsum(n) - n), n) + np.arange(len(of))
+        found = at[bits[self.which[of], self.r.lead - (self.mark[of] - at)]] if len(of) else at
+        hot = self.hot[hot_answer[np.unique(self.hot_hashes(), return_inverse=True)[1]] > 0] if len(self.hot) else self.hot
+        return np.concatenate([found, hot]).astype(np.int64)
+
+
 def _both(dealt: Dealt, r: Repeats) -> DataFrame:
     marks = dealt.ask(dealt.send(r.send_marks), r.count)
-    windows = dealt.ask(dealt.give(marks, r.send_windows, "blk long, bucket int, payload binary"), r.count)
+    windows = dealt.ask(dealt.give(marks, r.send_stretches, "blk long, bucket int, payload binary"), r.merge)
     return marks.withColumn("kind", F.lit("marks")).unionByName(windows.withColumn("kind", F.lit("windows")))
 
 
