@@ -274,10 +274,9 @@ def applied(reads: DataFrame, groups: DataFrame, tabled: DataFrame, levels: int
     width = 2 * max_cycle + 1
     rows = group_covariate(reads, groups).join(lookup(tabled, max_cycle), "read_group", "left")
     zipped = F.transform(F.arrays_zip(F.col("qual").alias("q"), F.split("seq", "").alias("s")), lambda x: F.struct(x["q"].alias("q"), x["s"].alias("s")))
-    n = F.size("qual")
     pairs = F.array(*[F.lit(a + b) for a in LETTERS for b in LETTERS])
 
-    def new(q: Column, i: Column, ctx: Column) -> Column:
+    def new(q: Column, i: Column, n: Column, ctx: Column) -> Column:
         by_cycle = F.get("by_cycle", (q * width + cycle(i, n) + max_cycle).cast("int"))
         by_context = F.get("by_context", (q * 16 + F.array_position(pairs, F.get(ctx, i)) - 1).cast("int"))
         known = F.coalesce(F.get("base", q), F.get("__group", F.lit(0)))
@@ -287,5 +286,5 @@ def applied(reads: DataFrame, groups: DataFrame, tabled: DataFrame, levels: int
 
     by_group = combined(tabled).select("read_group", F.array(empirical(F.col("observations"), F.col("mismatches"), F.col("reported")).cast("double")).alias("__group"))
     whole = rows.join(by_group, "read_group", "left")
-    recalibrated = C.bound(contexts(zipped), lambda ctx: F.transform("qual", lambda q, i: new(q, i, ctx)))
+    recalibrated = C.bound(F.struct(F.col("qual").alias("qual"), F.size("qual").alias("n"), contexts(zipped).alias("ctx")), lambda v: F.transform(v["qual"], lambda q, i: new(q, i, v["n"], v["ctx"])))
     return whole.withColumn("qual", recalibrated).drop("read_group", "base", "by_cycle", "by_context", "__group")
