@@ -89,6 +89,34 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("idx", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", F.array_join(F.transform(i, letter), "").alias("seq"), qual.alias("qual"), tags.alias("tags"), "k", "m", "lb", "rg", "refid", "upos")
 
 
+#: One position in 211 varies: in every template where the position is 1 modulo 3, else in those with an even key.
+PLANTED = "({p}) % 211 = 100 AND (({p}) % 3 = 1 OR ({k}) % 2 = 0)"
+
+
+def _mixed(p):
+    """A base code without repeats, unlike the plain one, which has a period of four bases: what assembly needs."""
+    return ((p * p * 31 + p * 7919 + F.col("refid") * 1013) % 10007) % 4
+
+
+def mixed_sql(p: str, refid: str = "refid") -> str:
+    return f"((({p})*({p})*31 + ({p})*7919 + {refid}*1013) % 10007) % 4"
+
+
+def planted_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads with good qualities and the reference's bases but for planted alternatives (the next letter)."""
+    r = narrow_reads(spark, sf_dir)
+    i = F.sequence(F.lit(0), F.lit(LENGTH - 1))
+
+    def letter(i):
+        p = F.col("b") + i
+        planted = (p % 211 == 100) & ((p % 3 == 1) | (F.col("k") % 2 == 0))
+        return F.lit("ACGT").substr(((_mixed(p) + planted.cast("int")) % 4).cast("int") + 1, F.lit(1))
+
+    qual = F.transform(i, lambda i: (30 + (F.col("k") * 31 + i * 17 + F.col("m") * 7) % 11).cast("int"))
+    tags = F.array(F.struct(F.lit("RG").alias("k"), F.lit("Z").alias("t"), F.col("rg").alias("v")))
+    return r.where("is_sr = 0").select("idx", "qname", "flag", "rname", "pos", F.lit(60).alias("mapq"), "cigar", "rnext", "pnext", "tlen", F.array_join(F.transform(i, letter), "").alias("seq"), qual.alias("qual"), tags.alias("tags"))
+
+
 def sites(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
     """chrom, start, end."""
     return spark.sql(SITES.replace('"end"', "`end`").replace("{every}", str(every)), events=load(spark, sf_dir, "events").select("event_id"))
@@ -110,8 +138,8 @@ def read_groups(spark: SparkSession) -> DataFrame:
 GROUPS_SQL = "rgs AS (SELECT * FROM (VALUES ('rg0', 'lib0', 'unit0', 'one'), ('rg1', 'lib1', 'unit1', 'one'), ('rg2', 'lib2', NULL, 'two')) t(id, lb_of, pu, sm))"
 
 
-def reference(spark: SparkSession, chunk: int = 1000) -> DataFrame:
+def reference(spark: SparkSession, chunk: int = 1000, mixed: bool = False) -> DataFrame:
     """contig, chunk (from 0), bases: the reference in chunks of equal length (but for a contig's last)."""
     one = dictionary(spark).select("refid", F.col("sn").alias("contig"), "ln", F.explode(F.sequence(F.lit(0), F.floor((F.col("ln") - 1) / chunk).cast("int"))).alias("chunk"))
     p = F.sequence(F.col("chunk") * chunk + 1, F.least(F.col("ln"), (F.col("chunk") + 1) * chunk))
-    return one.select("contig", "chunk", F.array_join(F.transform(p, lambda p: F.lit("ACGT").substr(((p.cast("long") * p * 3 + p * 7 + 11 * F.col("refid")) % 4).cast("int") + 1, F.lit(1))), "").alias("bases"))
+    return one.select("contig", "chunk", F.array_join(F.transform(p, lambda p: F.lit("ACGT").substr((_mixed(p.cast("long")) if mixed else (p.cast("long") * p * 3 + p * 7 + 11 * F.col("refid")) % 4).cast("int") + 1, F.lit(1))), "").alias("bases"))
