@@ -76,7 +76,7 @@ def typed(variants: DataFrame, head: VcfHeader, names: list[str]) -> DataFrame:
 
 def number_text(x: Column) -> Column:
     """QUAL: two decimals, without .00."""
-    return F.coalesce(F.regexp_replace(F.format_string("%.2f", x), r"\.00$", ""), F.lit("."))
+    return F.when(x.isNull(), ".").otherwise(F.regexp_replace(F.format_string("%.2f", x), r"\.00$", ""))
 
 
 def float_text(x: Column) -> Column:
