@@ -179,12 +179,12 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Keyed access: doc_id and ids of each wanted doc_id (the first document of that id). Keys are routed by the shards' ranges, and
     only shards that are asked for are opened."""
     ship(spark)
-    shards = spark.read.schema(SHARD).parquet(path).withColumn("shard", F.struct("part", "seq"))
-    ranges = shards.select("shard", "first_key", "last_key")
+    ranges = spark.read.schema(SHARD).parquet(path).select(F.struct("part", "seq").alias("shard"), "first_key", "last_key")
     keys = wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     routed = keys.join(ranges, F.col("doc_id").between(F.coalesce("first_key", F.lit(-(1 << 63))), F.coalesce("last_key", F.lit(-(1 << 63))))).select("shard", "doc_id")
-    opened = shards.join(routed.select("shard").distinct(), "shard", "left_semi").select("shard", "levels", "slots", "payload")
-    return routed.groupBy("shard").cogroup(opened.groupBy("shard")).applyInArrow(_fetch, "doc_id long, ids array<long>")
+    asked = routed.select(F.col("shard").alias("opened")).distinct()
+    opened = spark.read.schema(SHARD).parquet(path).select(F.struct("part", "seq").alias("opened"), "levels", "slots", "payload").join(asked, "opened", "left_semi")
+    return routed.groupBy("shard").cogroup(opened.groupBy("opened")).applyInArrow(_fetch, "doc_id long, ids array<long>")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

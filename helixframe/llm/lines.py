@@ -42,11 +42,12 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with two more columns: line_dropped (places of lines that go, from 0; null for none) and line_text (what stays).
+    """row (all columns of docs), doc_id, text, source, line_dropped (places of lines that go, from 0; null for none) and line_text (what stays).
 
     A line is what lies between line feeds; it is compared without white space at its ends, and blank lines stay. Null and
     empty texts stay as they are. A null source is a site like others. Rows that share doc_id and text are treated alike. Of a null doc_id's lines the first one
     counts as the smallest."""
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
     lines = line_hashes(docs)
     hit = lines.join(boilerplate(lines, sites), ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     gone = hit.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.collect_set("at").alias("line_dropped"))
@@ -64,8 +65,10 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs with boilerplate lines taken out of text (and n_chars, where there is one, counted anew). Documents that have lost their
     last word by it go: all they held stays elsewhere."""
     out = dedup_lines(docs, sites).where(F.col("line_dropped").isNull() | (_trimmed(F.col("line_text")) != ""))
-    changed = {"text": F.col("line_text")} | ({"n_chars": F.when(F.col("line_dropped").isNull(), F.col("n_chars")).otherwise(F.length("line_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+    changed = {"text": F.col("line_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("line_dropped").isNull(), F.col("row.n_chars")).otherwise(F.length("line_text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

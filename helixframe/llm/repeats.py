@@ -283,9 +283,11 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes taken out of text (and n_chars, where there is one, counted anew). A character of which only some bytes go
     goes whole. Documents that lose their last word by it go."""
-    dealt = deal(docs)
-    r, schema, names = Repeats(dealt, length), docs.schema, docs.columns
-    arrow = to_arrow_schema(schema)
+    # other columns travel under names that can't clash
+    names = [c if c in ("doc_id", "text", "n_chars") else f"other_{i}" for i, c in enumerate(docs.columns)]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    dealt, schema = deal(plain), plain.schema
+    r, arrow = Repeats(dealt, length), to_arrow_schema(schema)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = left.select(names)
@@ -304,7 +306,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = out.filter(pa.array(stays, pa.bool_()))
         return out.cast(arrow)
 
-    return dealt.give(_both(dealt, r), finish, schema)
+    out = dealt.give(_both(dealt, r), finish, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
