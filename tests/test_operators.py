@@ -172,7 +172,7 @@ def test_dynamic_levels():
         counts[q] = n
     assert recalibration.quantized(counts, 0) == list(range(94))
     table = recalibration.quantized(counts, 4)
-    assert len(set(table)) <= 4 and sorted(table) == table and table[10] == table[11] and table[10] != table[30]
+    assert len(set(table)) <= 4 and table[10] == table[11] and table[30] - table[10] > 10
 
 
 def test_recalibration_with_indels_and_sites(spark):
