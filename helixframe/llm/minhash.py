@@ -8,9 +8,13 @@ Only a document of whose weight 0.8 or more lies on shingles that other document
 get ROWS * BANDS samples, whose chance to agree is the weighted Jaccard similarity; documents that agree in all samples of a band are candidates. Candidates are verified
 by the weighted Jaccard similarity of their whole sets.
 
-No group is expanded into its pairs: the members of a band's group are verified against one hub (the member with the smallest hash, another hash in each
-round), groups are then the connected parts of verified links. What is left apart in a band's group after ROUNDS rounds is verified
-pair by pair over the different parts, so no candidate link between different parts is left out."""
+No group is expanded into its pairs at once: the members of a band's group are verified against one hub, groups are then the connected parts of
+verified links, and further rounds verify what is still apart against hubs of a group's largest part. What is left apart after ROUNDS rounds is
+verified pair by pair over the different parts. There, a band's group of more than SMALL members (a passage that is everywhere brings
+documents together that have little else in common) is first cut by a second band, for 2 * BANDS pairs of bands: two texts of similarity 0.8 that
+agree in a band agree in one of these pairs too but for about 2 in 1000, besides what the hubs find. Before any verification bounds are tested: the weight that a text
+has for itself is in no other's set; and with shingles dealt into PARTS by their hash, two texts share no more of a part than either has of it. The second bound
+is close to the similarity itself, so that of a group's pairs hardly more than its links are made."""
 
 from __future__ import annotations
 
@@ -18,15 +22,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.blocks import answered, answers, deal, mix, packed, sent, unpacked, words_of
 from helixframe.llm.common import documents, in_arrow, stored
 
-SHINGLE, SIMILAR, ROWS, BANDS, ROUNDS = 5, 0.8, 3, 12, 3
+SHINGLE, SIMILAR, ROWS, BANDS, ROUNDS, SMALL, PARTS = 5, 0.8, 3, 16, 3, 64, 64
 SET_BITS = np.uint64(((1 << 48) - 1) << 16)
-SIGNATURE = "node binary, bands array<long>, total double, shingles binary"
+#: In large groups, bands b and b + 1, and b and b + 5, count together.
+SECOND = (1, 5)
+SIGNATURE = "node binary, bands array<long>, total double, own double, parts array<float>, shingles binary"
 
 _draw = np.random.default_rng(7).random
 _R = -np.log(_draw((1 << 16,)) * _draw((1 << 16,)) + 1e-300)  # gamma(2, 1)
@@ -87,7 +93,7 @@ class Shingles:
 
 def signatures(block: Shingles, octaves: np.ndarray, n: int) -> pa.Table:
     """For each text that can have a partner: its bands and its weighted set."""
-    weight = block.tf * idf(octaves, n)[block.which]
+    weight = weight_all = block.tf * idf(octaves, n)[block.which]
     shared = (octaves > 0)[block.which]
     texts = len(block.node)
     total, common = np.bincount(block.text, weight, texts), np.bincount(block.text, weight * shared, texts)
@@ -96,7 +102,7 @@ def signatures(block: Shingles, octaves: np.ndarray, n: int) -> pa.Table:
     text, which, tf, weight = block.text[keep], block.which[keep], block.tf[keep], weight[keep]
     first = np.flatnonzero(np.diff(text, prepend=-1))
     if not len(first):
-        return pa.table({"node": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64())), "total": pa.array([], pa.float64()), "shingles": pa.array([], pa.binary())})
+        return pa.table({"node": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64())), "total": pa.array([], pa.float64()), "own": pa.array([], pa.float64()), "parts": pa.array([], pa.list_(pa.float32())), "shingles": pa.array([], pa.binary())})
     hashes = block.hashes[which]
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     tail = hashes & np.uint64(0xFFFFFFFF)
@@ -114,7 +120,9 @@ def signatures(block: Shingles, octaves: np.ndarray, n: int) -> pa.Table:
     for a, b in zip(edges, edges[1:], strict=False):
         sets.append(packed(hashes[a:b] & SET_BITS, [tf[a:b].astype(np.uint64), octave[a:b]]))
     own = text[first]
-    return pa.table({"node": pa.array([block.node[i] for i in own.tolist()], pa.binary()), "bands": pa.array(bands.T.astype(np.int64).tolist(), pa.list_(pa.int64())), "total": pa.array(total[own]), "shingles": pa.array(sets, pa.binary())})
+    part = ((block.hashes[block.which] >> np.uint64(20)) % np.uint64(PARTS)).astype(np.int64)
+    parts = np.bincount(block.text * PARTS + part, weight_all * shared, texts * PARTS).reshape(texts, PARTS)[own].astype(np.float32)
+    return pa.table({"node": pa.array([block.node[i] for i in own.tolist()], pa.binary()), "bands": pa.array(bands.T.astype(np.int64).tolist(), pa.list_(pa.int64())), "total": pa.array(total[own]), "own": pa.array((total - common)[own]), "parts": pa.array(list(parts), pa.list_(pa.float32())), "shingles": pa.array(sets, pa.binary())})
 
 
 def similarity(a: bytes, b: bytes, n: int) -> float:
@@ -155,6 +163,18 @@ def _signed(docs: DataFrame) -> tuple[DataFrame, int]:
     return stored(rows, "signatures"), n
 
 
+def able(a: str, b: str) -> Column:
+    """Whether two texts can be similar: a.total and a.own (what no other text has) bound what they share from above."""
+    total = lambda x: F.col(f"{x}.total")
+    most = F.least(total(a) - F.col(f"{a}.own"), total(b) - F.col(f"{b}.own"))
+    return most >= (SIMILAR - 1e-9) * (total(a) + total(b) - most)
+
+
+def able_by_parts(a: str, b: str) -> Column:
+    both = F.aggregate(F.zip_with(F.col(f"{a}.parts"), F.col(f"{b}.parts"), lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, x: s + x)
+    return both >= (SIMILAR - 1e-5) * (F.col(f"{a}.total") + F.col(f"{b}.total") - both)
+
+
 def _verified(links: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """links: u, v. Those whose sets are similar."""
 
@@ -163,11 +183,9 @@ def _verified(links: DataFrame, sets: DataFrame, n: int) -> DataFrame:
             like = [similarity(x, y, n) >= SIMILAR - 1e-12 for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist(), strict=True)]
             yield pa.record_batch([b.column("u"), b.column("v"), pa.array(like, pa.bool_())], ["u", "v", "like"])
 
-    u = sets.select(F.col("node").alias("u"), F.col("total").alias("tu"), F.col("shingles").alias("su"))
-    v = sets.select(F.col("node").alias("v"), F.col("total").alias("tv"), F.col("shingles").alias("sv"))
-    able = F.least("tu", "tv") >= (SIMILAR - 1e-9) * F.greatest("tu", "tv")
-    sided = links.join(u.select("u", "tu"), "u").join(v.select("v", "tv"), "v").where(able).select("u", "v")
-    pairs = sided.join(u.select("u", "su"), "u").join(v.select("v", "sv"), "v").select("u", "v", "su", "sv")
+    u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
+    v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    pairs = links.join(u, "u").join(v, "v").select("u", "v", "su", "sv")
     return in_arrow(pairs, run, "u binary, v binary, like boolean").where("like").select("u", "v")
 
 
@@ -175,28 +193,70 @@ def connected(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its part) for all nodes of the edges u, v. Large and small stars by turns, each step written
     to the shared folder, until nothing changes."""
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    said = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("a"), "m").unionByName(lower.select(F.col("u").alias("a"), "m")).where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
-        after = stored(small, "edges")
-        same = after.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(after, ["u", "v"], "left_anti").isEmpty()
-        edges = after
-        if same:
+        edges, before = stored(small, "edges"), said
+        # a digest of all edges tells whether a step has changed any
+        said = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if said == before:
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _side(name: str, *more: str) -> Column:
+    return F.struct("node", "root", "total", "own", *more).alias(name)
+
+
+def _hub_links(members: DataFrame, turn: int) -> DataFrame:
+    """members: band, key, node, root, total, own. Each against its group's hub: any member at first, then one of the group's largest part."""
+    h = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "total", "own"))
+    if turn:
+        parts = members.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), h.alias("hub"))
+        hubs = parts.groupBy("band", "key").agg(F.max(F.struct("n", "hub")).alias("m")).select("band", "key", F.col("m.hub").alias("hub"))
+    else:
+        hubs = members.groupBy("band", "key").agg(h.alias("hub"))
+    met = members.select("band", "key", _side("a")).join(hubs, ["band", "key"])
+    return met.where((F.col("a.root") != F.col("hub.root")) & able("a", "hub")).select(F.col("a.node").alias("u"), F.col("hub.node").alias("v"))
+
+
+def _pair_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different parts within a group; large groups are cut by a second band first."""
+    sized = members.join(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")), ["band", "key"])
+    keys = [f"k{b}" for b in range(BANDS)]
+    small = sized.where(F.col("n") <= SMALL).select(F.struct(F.lit(-1).alias("turn"), "band", "key").alias("group"), "node", "root", "total", "own", *[F.lit(None).cast("long").alias(k) for k in keys])
+    large = sized.where(F.col("n") > SMALL).groupBy("node", "root", "total", "own").agg(*[F.max(F.when(F.col("band") == b, F.col("key"))).alias(k) for b, k in enumerate(keys)])
+    second = [F.when(F.col(f"k{b}").isNotNull() & F.col(f"k{(b + by) % BANDS}").isNotNull(), F.struct(F.lit(turn).alias("turn"), F.lit(b).alias("band"), F.xxhash64(f"k{b}", f"k{(b + by) % BANDS}").alias("key"))) for turn, by in enumerate(SECOND) for b in range(BANDS)]
+    rows = small.unionByName(large.withColumn("group", F.explode(F.filter(F.array(*second), lambda x: x.isNotNull()))))
+    split = rows.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("group")
+    rows = stored(rows.join(split, "group", "left_semi").join(sets.select("node", "parts"), "node"), "last")
+    both = rows.select("group", _side("a", "parts", *keys)).join(rows.select("group", _side("b", "parts", *keys)), "group")
+    # a pair that agrees in several pairs of bands is looked at in the first of them only
+    same, whole = F.lit(0), (1 << BANDS) - 1
+    for b, k in enumerate(keys):
+        same = same.bitwiseOR(F.when(F.col(f"a.{k}") == F.col(f"b.{k}"), 1 << b).otherwise(0))
+    agree = [same.bitwiseAND(F.shiftrightunsigned(same, by).bitwiseOR(F.shiftleft(same, BANDS - by).bitwiseAND(whole))) for by in SECOND]
+    lower = F.expr("shiftleft(1, CAST(group.band AS INT)) - 1")
+    first = F.when(F.col("group.turn") < 0, F.lit(True))
+    for turn, own in enumerate(agree):
+        before = own.bitwiseAND(lower)
+        for other in agree[:turn]:
+            before = before.bitwiseOR(other)
+        first = first.when(F.col("group.turn") == turn, before == 0)
+    return both.where((F.col("a.root") < F.col("b.root")) & able("a", "b") & first & able_by_parts("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
 def linked(signed: DataFrame, n: int) -> DataFrame:
     """node, root of all texts that are similar to another one. signed: as from _signed, a text once or more often."""
-    sets = stored(signed.groupBy("node").agg(F.first("total").alias("total"), F.first("shingles").alias("shingles")), "sets")
-    members = signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()
+    sets = stored(signed.groupBy("node").agg(F.first("total").alias("total"), F.first("own").alias("own"), F.first("parts").alias("parts"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "sets")
+    members = sets.select("node", "total", "own", F.posexplode("bands").alias("band", "key"))
     groups = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "key")
     members = stored(members.join(groups, ["band", "key"], "left_semi"), "bands")
-    spark = signed.sparkSession
     good, roots = None, None
     for turn in range(ROUNDS + 1):
         with_root = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -204,16 +264,11 @@ def linked(signed: DataFrame, n: int) -> DataFrame:
         open_groups = stored(with_root.join(split, ["band", "key"], "left_semi"), "open")
         if open_groups.isEmpty():
             break
-        if turn < ROUNDS:
-            hubs = open_groups.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root")).alias("hub"))
-            links = open_groups.join(hubs, ["band", "key"]).where("root <> hub.root").select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
-        else:
-            other = open_groups.select("band", "key", F.col("node").alias("v"), F.col("root").alias("other"))
-            links = open_groups.withColumnRenamed("node", "u").join(other, ["band", "key"]).where("root < other").select("u", "v")
-        found = stored(_verified(links.distinct(), sets, n), "links")
+        links = _hub_links(open_groups, turn) if turn < ROUNDS else _pair_links(open_groups, sets)
+        found = stored(_verified(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), sets, n), "links")
         good = found if good is None else good.unionByName(found)
         roots = stored(connected(good), "roots")
-    return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
+    return roots if roots is not None else signed.sparkSession.createDataFrame([], "node binary, root binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
