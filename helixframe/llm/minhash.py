@@ -12,7 +12,7 @@ No group is expanded into its pairs at once: the members of a band's group are v
 verified links, and further rounds verify what is still apart against hubs of a group's largest part. What is left apart after ROUNDS rounds is
 verified pair by pair over the different parts. There, a band's group of more than SMALL members (a passage that is everywhere brings
 documents together that have little else in common) is first cut by a second band, for 2 * BANDS pairs of bands: two texts of similarity 0.8 that
-agree in a band agree in one of these pairs too but for about 2 in 1000, besides what the hubs find. Before any verification bounds are tested: the weight that a text
+agree in a band agree in one of these pairs too but for about 1 in 100, besides what the hubs find. Before any verification bounds are tested: the weight that a text
 has for itself is in no other's set; and with shingles dealt into PARTS by their hash, two texts share no more of a part than either has of it. The second bound
 is close to the similarity itself, so that of a group's pairs hardly more than its links are made."""
 
