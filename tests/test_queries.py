@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(df: pd.DataFrame) -> list[tuple]:
-    rows = [tuple(None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None)]
+    rows = [tuple(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None)]
     return sorted(rows, key=str)
 
 
