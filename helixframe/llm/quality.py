@@ -176,6 +176,8 @@ def estimates_sql() -> list[str]:
     return out
 
 
+#: Tables of a row or two for each group. They are written, so that the plan of a step doesn't hold the steps before.
+SMALL = {"named", *(f"f{step}" for step in range(STEPS + 1))}
 VERDICT = f"NOT base_failed AND coalesce({_distance()} <= {CUTOFF}, true)"
 
 
@@ -185,13 +187,14 @@ def judged(stats: DataFrame) -> DataFrame:
     spark, tables = stats.sparkSession, {"stats": stats}
 
     def run(query: str) -> DataFrame:
-        """Each expression is analysed by itself: one statement of them all is too deep for the analyser."""
+        """Each expression is analysed by itself: one statement of them all is too deep for the analyser, and for the driver's memory."""
         used = dict.fromkeys(re.findall(r"\b(?:FROM|JOIN) (\w+)", query))
         return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2} \2", query), **{k: tables[k] for k in used})
 
     for x in [*groups_sql(), *estimates_sql()]:
         name, _, query = x.partition(" AS ")
-        tables[name] = run(query.strip()[1:-1].replace("MEDIAN", "percentile"))
+        found = run(query.strip()[1:-1].replace("MEDIAN", "percentile"))
+        tables[name] = stored(found, name) if name in SMALL else found
     columns = ", ".join(f"x.`{c}`" for c in stats.columns)
     return run(f"SELECT {columns}, {VERDICT} AS kept FROM x LEFT JOIN best ON x.g = best.g")
 
@@ -206,9 +209,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
-    columns = docs.columns
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole_row")
-    stats = stored(with_base(docs).select(whole, "doc_id", "lang", "source", "base_stats.*"), "quality")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row")
+    stats = stored(with_base(docs.select(whole, "doc_id", "text", "lang", "source")).select("whole_row", "doc_id", "lang", "source", "base_stats.*"), "quality")
     return judged(stats).where("kept").select("whole_row.*")
 
 
