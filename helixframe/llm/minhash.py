@@ -11,8 +11,8 @@ by the weighted Jaccard similarity of their whole sets.
 No group is expanded into its pairs at once: the members of a band's group are verified against one hub, groups are then the connected parts of
 verified links, and further rounds verify what is still apart against hubs of a group's largest part. What is left apart after ROUNDS rounds is
 verified pair by pair over the different parts. There, a band's group of more than SMALL members (a passage that is everywhere brings
-documents together that have little else in common) is first cut by a second band, for 2 * BANDS pairs of bands: two texts of similarity 0.8 that
-agree in a band agree in one of these pairs too but for about 1 in 100, besides what the hubs find. Before any verification bounds are tested: the weight that a text
+documents together that have little else in common) is dealt into blocks of about BLOCK members, and each pair of blocks is compared by itself,
+each pair of texts in the first band that they share. Before any verification bounds are tested: the weight that a text
 has for itself is in no other's set; and with shingles dealt into PARTS by their hash, two texts share no more of a part than either has of it. The second bound
 is close to the similarity itself, so that of a group's pairs hardly more than its links are made."""
 
@@ -29,9 +29,9 @@ from helixframe.llm.blocks import answered, answers, deal, mix, packed, sent, un
 from helixframe.llm.common import documents, in_arrow, stored
 
 SHINGLE, SIMILAR, ROWS, BANDS, ROUNDS, SMALL, PARTS = 5, 0.8, 3, 16, 3, 64, 64
+#: Members of a block of a large group, and how many of them are compared with another block at once.
+BLOCK, TILE = 1024, 32
 SET_BITS = np.uint64(((1 << 48) - 1) << 16)
-#: In large groups, bands b and b + 1, and b and b + 5, count together.
-SECOND = (1, 5)
 SIGNATURE = "node binary, bands array<long>, total double, own double, parts array<float>, shingles binary"
 
 _draw = np.random.default_rng(7).random
@@ -225,30 +225,43 @@ def _hub_links(members: DataFrame, turn: int) -> DataFrame:
     return met.where((F.col("a.root") != F.col("hub.root")) & able("a", "hub")).select(F.col("a.node").alias("u"), F.col("hub.node").alias("v"))
 
 
+def block_pairs(table: pa.Table) -> pa.Table:
+    """u, v: the pairs of two blocks of a large group (or within one) that are of different parts, share no earlier band, and pass both bounds."""
+    table = table.sort_by("total")
+    total, own, chunk = (table.column(c).to_numpy() for c in ("total", "own", "chunk"))
+    band, low, high = (table.column(c)[0].as_py() for c in ("band", "low", "high"))
+    nodes, root = table.column("node").to_pylist(), np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+    keys, parts = (pa.concat_arrays(table.column(c).chunks).flatten().to_numpy().reshape(table.num_rows, -1) for c in ("bands", "parts"))
+    left, right, common, us, vs = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high), total - own, [], []
+    for s in range(0, len(left), TILE):
+        i = left[s : s + TILE]
+        # similar texts' totals differ by a factor of SIMILAR at most
+        j = right[np.searchsorted(total[right], total[i[0]] * (SIMILAR - 1e-6)) : np.searchsorted(total[right], total[i[-1]] / (SIMILAR - 1e-6), side="right")]
+        most = np.minimum(common[i][:, None], common[j])
+        ok = (root[i][:, None] != root[j]) & (most >= (SIMILAR - 1e-9) * (total[i][:, None] + total[j] - most))
+        if low == high:
+            ok &= i[:, None] < j
+        for b in range(band):
+            ok &= keys[i, b][:, None] != keys[j, b]
+        x, y = np.nonzero(ok)
+        x, y = i[x], j[y]
+        both = np.minimum(parts[x], parts[y]).sum(1, dtype=float)
+        like = both >= (SIMILAR - 1e-5) * (total[x] + total[y] - both)
+        us += [nodes[k] for k in x[like].tolist()]
+        vs += [nodes[k] for k in y[like].tolist()]
+    return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+
 def _pair_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of different parts within a group; large groups are cut by a second band first."""
+    """All pairs of different parts within a group that may be similar. Large groups are compared block by block, a pair of blocks at a time."""
     sized = members.join(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")), ["band", "key"])
-    keys = [f"k{b}" for b in range(BANDS)]
-    small = sized.where(F.col("n") <= SMALL).select(F.struct(F.lit(-1).alias("turn"), "band", "key").alias("group"), "node", "root", "total", "own", *[F.lit(None).cast("long").alias(k) for k in keys])
-    large = sized.where(F.col("n") > SMALL).groupBy("node", "root", "total", "own").agg(*[F.max(F.when(F.col("band") == b, F.col("key"))).alias(k) for b, k in enumerate(keys)])
-    second = [F.when(F.col(f"k{b}").isNotNull() & F.col(f"k{(b + by) % BANDS}").isNotNull(), F.struct(F.lit(turn).alias("turn"), F.lit(b).alias("band"), F.xxhash64(f"k{b}", f"k{(b + by) % BANDS}").alias("key"))) for turn, by in enumerate(SECOND) for b in range(BANDS)]
-    rows = small.unionByName(large.withColumn("group", F.explode(F.filter(F.array(*second), lambda x: x.isNotNull()))))
-    split = rows.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("group")
-    rows = stored(rows.join(split, "group", "left_semi").join(sets.select("node", "parts"), "node"), "last")
-    both = rows.select("group", _side("a", "parts", *keys)).join(rows.select("group", _side("b", "parts", *keys)), "group")
-    # a pair that agrees in several pairs of bands is looked at in the first of them only
-    same, whole = F.lit(0), (1 << BANDS) - 1
-    for b, k in enumerate(keys):
-        same = same.bitwiseOR(F.when(F.col(f"a.{k}") == F.col(f"b.{k}"), 1 << b).otherwise(0))
-    agree = [same.bitwiseAND(F.shiftrightunsigned(same, by).bitwiseOR(F.shiftleft(same, BANDS - by).bitwiseAND(whole))) for by in SECOND]
-    lower = F.expr("shiftleft(1, CAST(group.band AS INT)) - 1")
-    first = F.when(F.col("group.turn") < 0, F.lit(True))
-    for turn, own in enumerate(agree):
-        before = own.bitwiseAND(lower)
-        for other in agree[:turn]:
-            before = before.bitwiseOR(other)
-        first = first.when(F.col("group.turn") == turn, before == 0)
-    return both.where((F.col("a.root") < F.col("b.root")) & able("a", "b") & first & able_by_parts("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    rows = stored(sized.join(sets.select("node", "parts", "bands"), "node"), "last")
+    small, chunks = rows.where(F.col("n") <= SMALL), F.ceil(F.col("n") / BLOCK).cast("int")
+    both = small.select("band", "key", _side("a", "parts")).join(small.select("band", "key", _side("b", "parts")), ["band", "key"])
+    few = both.where((F.col("a.root") < F.col("b.root")) & able("a", "b") & able_by_parts("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    dealt = rows.where(F.col("n") > SMALL).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("other", "n")
+    return few.unionByName(dealt.groupBy("band", "key", "low", "high").applyInArrow(lambda t: block_pairs(t), "u binary, v binary"))
 
 
 def linked(signed: DataFrame, n: int) -> DataFrame:

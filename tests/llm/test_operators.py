@@ -286,6 +286,23 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     check_near(rows, got)
 
 
+def test_pairs_that_share_one_large_group(spark, monkeypatch):
+    """Similar texts that agree in one band only are candidates in a large group too, over its blocks; unlike ones are not."""
+    near = [(i, words(100, 50) + f" tail{i}") for i in range(40)]
+    signed, n = minhash._signed(spark.createDataFrame(near + [(100 + i, words(100, 700 + i, 10**6)) for i in range(20)], "doc_id long, text string"))
+    rows = [r.asDict() for r in signed.collect()]
+    assert len(rows) == 40
+    for i, r in enumerate(rows):  # band 3 is everybody's, the others are each one's own
+        r["bands"] = [7 if b == 3 else 1000 * b + i for b in range(minhash.BANDS)]
+    sets = spark.createDataFrame(rows, signed.schema)
+    members = sets.select(F.lit(3).alias("band"), F.lit(7).cast("long").alias("key"), "node", F.col("node").alias("root"), "total", "own")
+    monkeypatch.setattr(minhash, "SMALL", 5)
+    for block in (1024, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+        got = [frozenset(r) for r in minhash._pair_links(members, sets).collect()]
+        assert len(got) == len(set(got)) == 40 * 39 // 2 and all(len(x) == 2 for x in got)
+
+
 def test_one_of_each(edge):
     out = minhash.one_of_each(edge)
     assert out.columns == edge.columns
