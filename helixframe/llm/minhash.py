@@ -284,27 +284,39 @@ def linked(signed: DataFrame, n: int) -> DataFrame:
     return roots if roots is not None else signed.sparkSession.createDataFrame([], "node binary, root binary")
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, node, root (of its group) and whether there is a word, of each row."""
+    signed, n = _signed(docs)
+    ids = with_node(docs.select("doc_id", "text")).select("doc_id", "node", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    return ids.join(linked(signed, n), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its group), class_size of each row: groups of documents that are linked by weighted
     Jaccard similarities of 0.8 or more; equal texts are always in one group.
 
     Texts without a word (null and empty ones too) are groups by themselves. Rows that share a doc_id are documents of their own. Null
     doc_ids can't name a group: its other documents do, or null if there are none. Other columns are ignored."""
-    signed, n = _signed(docs)
-    ids = with_node(docs.select("doc_id", "text")).select("doc_id", "node", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
-    rows = ids.join(linked(signed, n), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _classes(docs)
     names = rows.where("worded").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     worded = rows.where("worded").join(names, "root").select("doc_id", "class_id", "class_size")
     return worded.unionByName(rows.where("NOT worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their group: one document of each stays. Of rows with the same doc_id one stays; rows without one stay."""
-    found = stored(near_duplicates(docs), "classes")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = not found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")) if repeated else left
+    """One row of docs of each group stays: that with the smallest doc_id (null only if there is no other), of those the one whose text has the
+    smallest hash, of rows equal in both any. Rows without a word stay."""
+    found = stored(_classes(docs).where("worded").select("doc_id", "node", "root"), "classes")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+    judged = stored(found.join(best, "root").select("doc_id", "node", F.expr("doc_id <=> best.doc_id AND node = best.node").alias("stays")), "judged")
+    gone = judged.where("NOT stays").select("doc_id", "node").distinct()
+    node = F.unhex(F.md5(docs["text"].cast("binary")))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (node == gone["node"]), "left_anti")
+    if judged.where("stays").groupBy("doc_id", "node").count().where("count > 1").isEmpty():
+        return left
+    rows = left.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("id"), F.unhex(F.md5(F.col("row.text").cast("binary"))).alias("node"), F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    return rows.where("worded").dropDuplicates(["id", "node"]).unionByName(rows.where("NOT worded")).select("row.*")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,15 @@ def test_one_of_each(edge):
     assert ids[6] == 1 and ids[7] == 0 and ids[4] == 1 and ids[5] == 0 and ids[None] >= 1
 
 
+def test_one_of_each_by_row(edge):
+    """An unrelated text stays though its id is taken or its namesake goes; of copies without ids one stays, none if a copy has an id."""
+    rows = [(1, "a copy"), (2, "a copy"), (2, "of its own"), (3, "first text"), (3, "second text"), (3, "first text"), (None, "no id"), (None, "no id"), (None, "a copy"), (None, ""), (None, ""), (4, None), (4, None)]
+    docs = edge.sparkSession.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in CLASHES})
+    want = [(1, "a copy"), (2, "of its own"), (3, "first text"), (3, "second text"), (None, "no id"), (None, ""), (None, ""), (4, None), (4, None)]
+    out = minhash.one_of_each(docs)
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+
+
 # 7
 
 
