@@ -63,3 +63,12 @@ def test_merged_split_equals_filtered(spark):
     f = lambda r: filters.mapping_quality(filters.mapped(r), 20)
     through = splitting.merge(f(splitting.split(reads, groups)))
     assert {tuple(r) for r in duplicates.mark(through).select("idx", "flag").collect()} == {tuple(r) for r in duplicates.mark(f(reads)).select("idx", "flag").collect()}
+
+
+def test_sam_header_writes_all_rows(spark, monkeypatch):
+    from helixframe.plans import file_queries
+
+    written, write = [], file_queries.sam.write
+    monkeypatch.setattr(file_queries.sam, "write", lambda rows, *rest: (written.append(rows.count()), write(rows, *rest)))
+    catalog.QUERIES["sam_header"](spark, SF)
+    assert written == [V.reads(spark, SF).count()]
