@@ -1,8 +1,8 @@
-"""Substring dedup: runs of words that occurred before, found by level-wise doubling.
+"""Substring dedup: runs of words that occurred before, found by one doubling.
 
-Windows of BASE_WORDS words that occur once in the corpus are done with; those that repeat are extended to twice the length where both halves repeat, and so
-on to the length asked for, or until no candidate is left. Each level is one exchange of hashes (see blocks): at lower levels
-short ones, whose chance collisions only leave a few more candidates; at the last level 64 bits and where each comes first."""
+Windows of half the length asked for that occur once in the corpus are done with; those that repeat are extended to the whole length where both halves
+repeat. There are these two levels only, whatever the length. Each level is one exchange of hashes (see blocks): at the lower level short
+ones, whose chance collisions only leave a few more candidates; at the last level 64 bits and where each comes first."""
 
 from __future__ import annotations
 
