@@ -1,7 +1,7 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 The encoding of each prefix of a chunk has one last token, which the prefix alone determines. It is found among the vocabulary's tokens that
-end there (matches of a suffix automaton, longest first): it is the one that is compatible with the last token of the prefix
+end there (matches of an Aho-Corasick automaton, longest first): it is the one that is compatible with the last token of the prefix
 that it leaves. Two tokens are compatible if merging their bytes by the rules gives just these two. Following the stored last
 tokens back from the end gives the ids. Prefixes are remembered over chunks and texts in tables of bounded size."""
 
@@ -28,7 +28,7 @@ NONE = 1 << 31
 
 
 class SuffixAutomaton:
-    """Over the tokens: states are their prefixes; step() gives the state of the longest prefix that ends at the next byte;
+    """An Aho-Corasick automaton over the tokens, in spite of the name: states are their prefixes; step() gives the state of the longest prefix that ends at the next byte;
     ends[state] lists (token, length) of all tokens that end there, longest first."""
 
     def __init__(self, tokens: dict[bytes, int]):
