@@ -2,11 +2,13 @@
 
 A word that the model knows is scored by its log frequency in each language; a word it doesn't know by its character n-grams:
 the longest known ones at each place, from five letters down to one. Word and n-gram counts come from a sample of labelled
-documents of bounded size (SAMPLE of each language, those with the smallest hashes of their doc_id)."""
+documents of bounded size: SAMPLE of each language, those with the smallest hashes of their doc_id. Every language with a labelled
+document is learned; where there are more than LANGUAGES, each has as much less of the sample and of the tables."""
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import documents, in_arrow, slices
 
-#: Documents of each language that the model is fitted on, languages (the most common ones) and words of each language that it keeps.
+#: Documents of each language that the model is fitted on, languages that have so many, and words and n-grams of each language that it keeps.
 SAMPLE, LANGUAGES, WORDS, GRAMS = 800, 64, 60_000, 40_000
 LONGEST = 5
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters. What counts as numeric without being a letter (fractions, superscripts, Roman numerals) is left out.
+WORD = re.compile(r"[^\W\d_" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 CACHE = 400_000
 
 
@@ -33,16 +36,16 @@ class Model:
     """score(word): log probabilities of a word in each language."""
 
     def __init__(self, counts: dict[str, tuple[Counter, dict[int, Counter]]]):
-        """counts: for each language its words, and its n-grams by length."""
+        """counts: for each language its words, and its n-grams by length, as many as are to be kept."""
         self.languages = sorted(counts)
-        self.words = self._table([counts[k][0] for k in self.languages], WORDS)
-        self.grams = {n: self._table([counts[k][1].get(n, Counter()) for k in self.languages], GRAMS) for n in range(1, LONGEST + 1)}
+        self.words = self._table([counts[k][0] for k in self.languages])
+        self.grams = {n: self._table([counts[k][1].get(n, Counter()) for k in self.languages]) for n in range(1, LONGEST + 1)}
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.languages)), np.float32)
 
     @staticmethod
-    def _table(each: list[Counter], most: int) -> dict[str, np.ndarray]:
-        keep = {k for c in each for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]}
+    def _table(each: list[Counter]) -> dict[str, np.ndarray]:
+        keep = {k for c in each for k in c}
         totals = np.array([sum(c.values()) for c in each], float) + 0.5 * (len(keep) + 1)
         return {k: np.log((np.array([c[k] for c in each]) + 0.5) / totals).astype(np.float32) for k in keep}
 
@@ -98,16 +101,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """Learn from the text and lang of docs that aren't held out. Null langs, and rows with no doc_id, teach nothing. The counts of the sample
     are summed on the executors; the driver gets the most frequent words and n-grams of each language, at most languages *
-    (WORDS + LONGEST * GRAMS) of them."""
+    (WORDS + LONGEST * GRAMS) of them (or one of each kind for each language)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    common = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    n_languages = known.agg(F.count_distinct("lang")).first()[0]
+    share = lambda most: most if n_languages <= languages else max(1, most * languages // n_languages)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("k")
-    # sample * languages ids at most: a proven bound
+    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= share(sample)).drop("k")
+    # sample * languages ids at most (or one for each language)
     texts = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
     total = in_arrow(texts, _counts, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
-    kept = total.withColumn("k", rank).where(F.col("k") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).drop("k")
+    kept = total.withColumn("k", rank).where(F.col("k") <= F.when(F.col("n") == 0, share(WORDS)).otherwise(share(GRAMS))).drop("k")
     counts: dict[str, tuple[Counter, dict[int, Counter]]] = {}
     for t in kept.toArrow().to_batches():
         for lang, n, gram, k in zip(*(t.column(c).to_pylist() for c in ("lang", "n", "gram", "count")), strict=True):
