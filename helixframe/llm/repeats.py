@@ -10,8 +10,8 @@ texts: an interleave of the shards is refined column by column, by a stable part
 lengths of common prefixes of neighbours are carried along. After a column, neighbours with `length` or more in common are repeated
 intervals; their windows are reported to the blocks that sent them. No suffixes are sorted again.
 
-A mark with more than HOT occurrences (a passage that is everywhere) would meet in one bucket; its windows are compared by hashes of 64 bits instead,
-dealt by their own hash. Within a block, a stretch that occurs often is sent once."""
+A mark with more than HOT occurrences (a passage that is everywhere) would meet in one bucket; its windows are compared by 128 bits of two hash
+functions instead, dealt by their own hash. Within a block, a stretch that occurs often (its bytes are compared) is sent once."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from helixframe.llm.blocks import BASE, TABLE, Dealt, answered, answers, bucket_edges, deal, mix, powers, sent
+from helixframe.llm.blocks import BASE, SEED, SEED2, TABLE, Dealt, answered, answers, bucket_edges, deal, hash_runs, mix, mix_two, powers, sent
 from helixframe.llm.common import documents
 
 LENGTH, GRAM, HOT = 200, 64, 4096
@@ -44,8 +44,9 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Bytes:
-    """The texts of a block: buffer, first byte of each and one more; at: starts of windows within one text; mark: place of each window's mark."""
+    """The texts of a block: raw, and the same as a buffer; first byte of each and one more; at: starts of windows within one text; mark: place of each window's mark."""
 
+    raw: bytes
     buffer: np.ndarray
     first: np.ndarray
     sums: np.ndarray
@@ -58,6 +59,23 @@ class Bytes:
         with np.errstate(over="ignore"):
             return mix((self.sums[at + n] - self.sums[at]) * powers(BASE, len(self.buffer))[1][at])
 
+    def wholes(self, at: np.ndarray, seed: np.uint64) -> np.ndarray:
+        """Another hash of each window: nothing cancels out in it (see blocks)."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        if self.length < 8:
+            return hash_runs(self.raw + bytes(8), at, at + self.length, seed)
+        # runs of eight bytes at every place, put together; the last of them may overlap
+        eight = mix(np.ndarray((len(self.raw) - 7,), "<u8", self.raw, 0, (1,)) ^ seed)
+        out, have, run, size, rest = None, 0, eight, 8, self.length // 8
+        while have < self.length // 8 * 8:
+            if rest & 1:
+                out = run[at] if out is None else mix_two(out, run[at + have])
+                have += size
+            if have < self.length // 8 * 8:
+                run, size, rest = mix_two(run[:-size], run[size:]), 2 * size, rest >> 1
+        return mix_two(out, eight[at + self.length - 8])
+
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the marks, each once, and which of them is each window's."""
         new = np.diff(self.mark, prepend=-1) != 0
@@ -66,13 +84,14 @@ class Bytes:
 
 def bytes_of(parts: list[bytes | None], length: int) -> Bytes:
     parts = [p or b"" for p in parts]
-    buffer, first = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    raw, first = b"".join(parts), np.cumsum([0, *map(len, parts)])
+    buffer = np.frombuffer(raw, np.uint8)
     gram = min(GRAM, length)
     up, down = powers(BASE, len(buffer))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[buffer] * up[: len(buffer)])])
         if len(buffer) < length:
-            return Bytes(buffer, first, sums, np.zeros(0, np.int64), np.zeros(0, np.int64), length, gram)
+            return Bytes(raw, buffer, first, sums, np.zeros(0, np.int64), np.zeros(0, np.int64), length, gram)
         keys = (sums[gram:] - sums[:-gram]) * down[: len(buffer) - gram + 1]
         keys ^= keys >> np.uint64(31)
         keys *= np.uint64(0xBF58476D1CE4E5B9)
@@ -85,7 +104,7 @@ def bytes_of(parts: list[bytes | None], length: int) -> Bytes:
     np.add.at(starts, first[:-1][ok], 1)
     np.add.at(starts, first[1:][ok] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(starts)[: len(least)] > 0)
-    return Bytes(buffer, first, sums, at, (least[at] & LOW).astype(np.int64), length, gram)
+    return Bytes(raw, buffer, first, sums, at, (least[at] & LOW).astype(np.int64), length, gram)
 
 
 def transform(stretches: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -164,8 +183,8 @@ class Repeats:
         if not left.num_rows:
             return sent(0, np.zeros(0, np.uint64), [], self.buckets)
         c, blk = Candidates(self, self.read(left), answered(right)), left.column("blk")[0].as_py()
-        hashes, counts = np.unique(c.hot_hashes(), return_counts=True)
-        hot = sent(blk, hashes, [np.minimum(counts, 2)], self.buckets)
+        hashes, check, which = c.hot_hashes()
+        hot = sent(blk, hashes, [check, np.minimum(np.bincount(which, minlength=len(hashes)), 2)], self.buckets)
         hot = hot.set_column(1, "bucket", pa.array(hot.column("bucket").to_numpy() + self.buckets, pa.int32()))
         which, first = np.unique(c.bucket, return_index=True)
         symbols = transform(c.stretches(), c.bucket)
@@ -174,7 +193,7 @@ class Repeats:
 
     def merge(self, table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= self.buckets:
-            return answers(table, 1, lambda group, first, extras, blk: (np.add.reduceat(extras[0].astype(np.int64), first)[group] > 1).astype(np.uint8))
+            return answers(table, 2, lambda group, first, extras, blk: (np.add.reduceat(extras[0].astype(np.int64), first)[group] > 1).astype(np.uint8), checked=True)
         table = table.sort_by("blk")
         shards = [np.frombuffer(p.as_buffer(), np.uint8).reshape(self.width, -1) for p in table.column("payload")]
         edges = np.cumsum([0, *(x.shape[1] for x in shards)]).tolist()
@@ -212,7 +231,13 @@ class Candidates:
             key = mix(mix(whole) + (mark - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         bucket = np.searchsorted(bucket_edges(r.buckets), hashes[keep], side="right") - 1
         order = np.lexsort((key, bucket))
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        # equal keys are looked into: stretches are the same only if their bytes and the place of the mark are
+        a, z, m = low.tolist(), (high + r.length).tolist(), mark.tolist()
+        for i in np.flatnonzero(~new).tolist():
+            x, y = int(order[i - 1]), int(order[i])
+            new[i] = m[x] - a[x] != m[y] - a[y] or b.raw[a[x] : z[x]] != b.raw[a[y] : z[y]]
         first = order[new]
         self.which = np.empty(len(order), np.int64)  # of each occurrence
         self.which[order] = np.cumsum(new) - 1
@@ -220,8 +245,16 @@ class Candidates:
         self.low, self.high, self.mark = low, high, mark
         self.first, self.bucket = first, bucket[first]
 
-    def hot_hashes(self) -> np.ndarray:
-        return self.b.hashes(self.hot, self.r.length)
+    def hot_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes of the distinct hot windows, in order of the first, and which of them is each window's."""
+        one, two = self.b.wholes(self.hot, SEED), self.b.wholes(self.hot, SEED2)
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return one[new], two[new], which
 
     def stretches(self) -> np.ndarray:
         """Bytes around the marks, lined up at them."""
@@ -244,7 +277,7 @@ class Candidates:
         of = np.repeat(np.arange(len(n)), n)
         at = np.repeat(self.low - (np.cumsum(n) - n), n) + np.arange(len(of))
         found = at[bits[self.which[of], self.r.lead - (self.mark[of] - at)]] if len(of) else at
-        hot = self.hot[hot_answer[np.unique(self.hot_hashes(), return_inverse=True)[1]] > 0] if len(self.hot) else self.hot
+        hot = self.hot[hot_answer[self.hot_hashes()[2]] > 0] if len(self.hot) else self.hot
         return np.concatenate([found, hot]).astype(np.int64)
 
 

@@ -336,6 +336,21 @@ def test_language(spark, edge, none, small):
     assert {r.lang_pred for r in language.identify(small, empty).collect()} == {"und"} and language.identify(none, model).count() == 0
 
 
+def test_numerals_are_no_letters(spark, small):
+    """Digits of any kind, fractions, superscripts and Roman numerals; signs; but ideographs for numbers are letters."""
+    texts = ["\u00bd \u00b2 \u2462 5", "\u2167 \u2188 \u09ea", "_ __ 12_3", "\u4e09\u5341", "\u00e9"]
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language.fit(small)).collect()
+    assert [r.lang_pred == "und" for r in sorted(got)] == [True, True, True, False, False]
+
+
+def test_every_language_is_learned(spark):
+    """More languages than have a whole sample each: all can be predicted."""
+    rows = [(i, f"zork{chr(97 + i % 9)} flim{chr(97 + i % 9)} " * 8, f"l{i % 9}") for i in range(400)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=30, languages=4)
+    assert model.languages == [f"l{k}" for k in range(9)]
+    assert [model.predict(f"zork{chr(97 + k)}")[0] for k in range(9)] == model.languages
+
+
 def test_unknown_words_back_off():
     m = language.Model({"a": (Counter({"hello": 5, "world": 5}), {n: Counter({"^hel": 3, "llo$": 3, "h": 5, "e": 4}) for n in range(1, 6)}), "b": (Counter({"zzz": 9}), {n: Counter({"zz": 9, "z": 20}) for n in range(1, 6)})})
     assert m.predict("hello")[0] == "a" and m.predict("zzzz")[0] == "b" and m.predict("hhee")[0] == "a"
@@ -378,6 +393,27 @@ def test_windows(edge, none, small, small_rows):
     assert windows.dedup_windows(none).count() == 0
 
 
+def thue_morse(n: int, flip: int) -> str:
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_words_that_cancel_out(spark):
+    """Words of letters in the Thue-Morse order and their complements: linear hashes modulo 2 ** 64 take them for equal."""
+    for size in (256, 1024, 2048):
+        rows = [(1, " ".join([thue_morse(size, 0)] * 20)), (2, " ".join([thue_morse(size, 1)] * 20))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        same(windows.dedup_windows(docs).collect(), brute.repeated_words(rows))
+        same(minhash.near_duplicates(docs).collect(), [(1, 1, 1), (2, 2, 1)])
+
+
+def test_windows_of_other_lengths(spark, small, small_rows):
+    """One level, odd lengths, several levels."""
+    rows = [(r[0], r[1]) for r in small_rows]
+    for length in (3, 7, 41):
+        same(windows.dedup_windows(small, length).collect(), brute.repeated_words(rows, length))
+    assert windows.levels(20) == [5, 10, 20] and windows.levels(4) == [4] and windows.levels(41) == [3, 6, 11, 21, 41]
+
+
 # 10
 
 
