@@ -40,11 +40,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: it cuts the lineage and survives lost executors."""
+def cores(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def tasks(spark: SparkSession, size: int) -> int:
+    """How many tasks so many bytes are worth: four for each core, or one for 16 MB."""
+    return max(4 * cores(spark), min(size >> 24, 1 << 20))
+
+
+def stored(df: DataFrame, name: str, size: int | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: it cuts the lineage and survives lost executors. size: a bound on its bytes, if
+    known: no more files are written than that is worth."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    (df if size is None else df.coalesce(tasks(spark, size))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +95,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         yield b.slice(start)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What the planner knows of df's size, without reading it; for a scan of files their size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a column."""
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()

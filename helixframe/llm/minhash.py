@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.blocks import answered, answers, deal, mix, packed, sent, unpacked, words_of
-from helixframe.llm.common import documents, in_arrow, stored
+from helixframe.llm.common import documents, in_arrow, planned_bytes, stored
 
 SHINGLE, SIMILAR, ROWS, BANDS, ROUNDS, SMALL, PARTS = 5, 0.8, 3, 16, 3, 64, 64
 #: Members of a block of a large group, and how many of them are compared with another block at once.
 BLOCK, TILE = 1024, 32
 SET_BITS = np.uint64(((1 << 48) - 1) << 16)
+_SIGNATURE = pa.schema([("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("own", pa.float64()), ("parts", pa.list_(pa.float32())), ("shingles", pa.binary())])
 SIGNATURE = "node binary, bands array<long>, total double, own double, parts array<float>, shingles binary"
 
 _draw = np.random.default_rng(7).random
@@ -102,7 +103,7 @@ def signatures(block: Shingles, octaves: np.ndarray, n: int) -> pa.Table:
     text, which, tf, weight = block.text[keep], block.which[keep], block.tf[keep], weight[keep]
     first = np.flatnonzero(np.diff(text, prepend=-1))
     if not len(first):
-        return pa.table({"node": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64())), "total": pa.array([], pa.float64()), "own": pa.array([], pa.float64()), "parts": pa.array([], pa.list_(pa.float32())), "shingles": pa.array([], pa.binary())})
+        return _SIGNATURE.empty_table()
     hashes = block.hashes[which]
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     tail = hashes & np.uint64(0xFFFFFFFF)
@@ -122,7 +123,9 @@ def signatures(block: Shingles, octaves: np.ndarray, n: int) -> pa.Table:
     own = text[first]
     part = ((block.hashes[block.which] >> np.uint64(20)) % np.uint64(PARTS)).astype(np.int64)
     parts = np.bincount(block.text * PARTS + part, weight_all * shared, texts * PARTS).reshape(texts, PARTS)[own].astype(np.float32)
-    return pa.table({"node": pa.array([block.node[i] for i in own.tolist()], pa.binary()), "bands": pa.array(bands.T.astype(np.int64).tolist(), pa.list_(pa.int64())), "total": pa.array(total[own]), "own": pa.array((total - common)[own]), "parts": pa.array(list(parts), pa.list_(pa.float32())), "shingles": pa.array(sets, pa.binary())})
+    lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+    columns = [pa.array([block.node[i] for i in own.tolist()], pa.binary()), lists(bands.T.astype(np.int64)), pa.array(total[own]), pa.array((total - common)[own]), lists(parts), pa.array(sets, pa.binary())]
+    return pa.table(columns, schema=_SIGNATURE)
 
 
 def similarity(a: bytes, b: bytes, n: int) -> float:
@@ -141,6 +144,7 @@ def with_node(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The signatures, and the number of documents with a word."""
     worded = with_node(docs.select("doc_id", "text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     dealt, n = deal(worded), worded.count()
     buckets = dealt.buckets
@@ -160,7 +164,7 @@ def _signed(docs: DataFrame) -> tuple[DataFrame, int]:
         return signatures(block, answered(right)[block.short(bits)[2]].astype(float), n)
 
     rows = dealt.give(dealt.ask(dealt.send(send), count), sign, SIGNATURE)
-    return stored(rows, "signatures"), n
+    return stored(rows, "signatures", dealt.size), n
 
 
 def able(a: str, b: str) -> Column:
@@ -192,7 +196,7 @@ def _verified(links: DataFrame, sets: DataFrame, n: int) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its part) for all nodes of the edges u, v. Large and small stars by turns, each step written
     to the shared folder, until nothing changes."""
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", planned_bytes(edges))
     said = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -200,7 +204,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("a"), "m").unionByName(lower.select(F.col("u").alias("a"), "m")).where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
-        edges, before = stored(small, "edges"), said
+        edges, before = stored(small, "edges", 0 if said is None else 32 * said[0]), said
         # a digest of all edges tells whether a step has changed any
         said = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if said == before:
@@ -255,7 +259,7 @@ def block_pairs(table: pa.Table) -> pa.Table:
 def _pair_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of different parts within a group that may be similar. Large groups are compared block by block, a pair of blocks at a time."""
     sized = members.join(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")), ["band", "key"])
-    rows = stored(sized.join(sets.select("node", "parts", "bands"), "node"), "last")
+    rows = stored(sized.join(sets.select("node", "parts", "bands"), "node"), "last", planned_bytes(sets))
     small, chunks = rows.where(F.col("n") <= SMALL), F.ceil(F.col("n") / BLOCK).cast("int")
     both = small.select("band", "key", _side("a", "parts")).join(small.select("band", "key", _side("b", "parts")), ["band", "key"])
     few = both.where((F.col("a.root") < F.col("b.root")) & able("a", "b") & able_by_parts("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
@@ -266,21 +270,22 @@ def _pair_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(signed: DataFrame, n: int) -> DataFrame:
     """node, root of all texts that are similar to another one. signed: as from _signed, a text once or more often."""
-    sets = stored(signed.groupBy("node").agg(F.first("total").alias("total"), F.first("own").alias("own"), F.first("parts").alias("parts"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "sets")
+    size = planned_bytes(signed)
+    sets = stored(signed.groupBy("node").agg(F.first("total").alias("total"), F.first("own").alias("own"), F.first("parts").alias("parts"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "sets", size)
     members = sets.select("node", "total", "own", F.posexplode("bands").alias("band", "key"))
     groups = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "key")
-    members = stored(members.join(groups, ["band", "key"], "left_semi"), "bands")
+    members = stored(members.join(groups, ["band", "key"], "left_semi"), "bands", size)
     good, roots = None, None
     for turn in range(ROUNDS + 1):
         with_root = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = with_root.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "key")
-        open_groups = stored(with_root.join(split, ["band", "key"], "left_semi"), "open")
+        open_groups = stored(with_root.join(split, ["band", "key"], "left_semi"), "open", size)
         if open_groups.isEmpty():
             break
         links = _hub_links(open_groups, turn) if turn < ROUNDS else _pair_links(open_groups, sets)
-        found = stored(_verified(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), sets, n), "links")
+        found = stored(_verified(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), sets, n), "links", size)
         good = found if good is None else good.unionByName(found)
-        roots = stored(connected(good), "roots")
+        roots = stored(connected(good), "roots", size)
     return roots if roots is not None else signed.sparkSession.createDataFrame([], "node binary, root binary")
 
 

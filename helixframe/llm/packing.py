@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import documents, in_arrow, slices, stored, width
+from helixframe.llm.common import documents, in_arrow, planned_bytes, slices, stored, tasks, width
 from helixframe.llm.subwords import encoder
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -121,14 +121,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) ->
     plan has fewer entries than capacity squared, whatever the number of documents."""
     spark = docs.sparkSession
     salts = 4 * width(spark)
-    pieces = stored(cut(docs, tokenizer, end_id, capacity), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    pieces = stored(cut(docs, tokenizer, end_id, capacity), "pieces", planned_bytes(docs)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     totals = {length: n for length, n in counts.groupBy("length").agg(F.sum("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = pieces.withColumn("within", rank).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return in_arrow(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), _placed(plan(totals, capacity)), out)
+    few = ranked.coalesce(tasks(spark, planned_bytes(docs)))
+    return in_arrow(few.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), _placed(plan(totals, capacity)), out)
 
 
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import documents, stored
+from helixframe.llm.common import documents, planned_bytes, stored
 
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 5
@@ -194,7 +194,7 @@ def judged(stats: DataFrame) -> DataFrame:
     for x in [*groups_sql(), *estimates_sql()]:
         name, _, query = x.partition(" AS ")
         found = run(query.strip()[1:-1].replace("MEDIAN", "percentile"))
-        tables[name] = stored(found, name) if name in SMALL else found
+        tables[name] = stored(found, name, 0) if name in SMALL else found
     columns = ", ".join(f"x.`{c}`" for c in stats.columns)
     return run(f"SELECT {columns}, {VERDICT} AS kept FROM x LEFT JOIN best ON x.g = best.g")
 
@@ -204,13 +204,13 @@ def quality(docs: DataFrame) -> DataFrame:
     the base rules. Null languages and sources are groups like others. Rows that share a doc_id, or have none, are judged each
     by its own text."""
     stats = with_base(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "base_stats.*")
-    return judged(stored(stats, "quality")).select("doc_id", *BASE, "base_failed", "kept")
+    return judged(stored(stats, "quality", planned_bytes(docs))).select("doc_id", *BASE, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row")
-    stats = stored(with_base(docs.select(whole, "doc_id", "text", "lang", "source")).select("whole_row", "doc_id", "lang", "source", "base_stats.*"), "quality")
+    stats = stored(with_base(docs.select(whole, "doc_id", "text", "lang", "source")).select("whole_row", "doc_id", "lang", "source", "base_stats.*"), "quality", planned_bytes(docs))
     return judged(stats).where("kept").select("whole_row.*")
 
 
