@@ -22,11 +22,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.blocks import answered, answers, deal, mix, packed, sent, unpacked, words_of
-from helixframe.llm.common import documents, in_arrow, planned_bytes, stored
+from helixframe.llm.common import documents, in_arrow, planned_bytes, stored, tasks
 
 SHINGLE, SIMILAR, ROWS, BANDS, ROUNDS, SMALL, PARTS = 5, 0.8, 3, 16, 3, 64, 64
 #: Members of a block of a large group, and how many of them are compared with another block at once.
@@ -179,7 +180,7 @@ def able_by_parts(a: str, b: str) -> Column:
     return both >= (SIMILAR - 1e-5) * (F.col(f"{a}.total") + F.col(f"{b}.total") - both)
 
 
-def _verified(links: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+def _verified(links: DataFrame, sets: DataFrame, n: int, parts: int) -> DataFrame:
     """links: u, v. Those whose sets are similar."""
 
     def run(batches):
@@ -187,24 +188,49 @@ def _verified(links: DataFrame, sets: DataFrame, n: int) -> DataFrame:
             like = [similarity(x, y, n) >= SIMILAR - 1e-12 for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist(), strict=True)]
             yield pa.record_batch([b.column("u"), b.column("v"), pa.array(like, pa.bool_())], ["u", "v", "like"])
 
-    u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-    v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
-    pairs = links.join(u, "u").join(v, "v").select("u", "v", "su", "sv")
+    each = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition(parts, "u").distinct()
+    u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")).repartition(parts, "u")
+    v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")).repartition(parts, "v")
+    pairs = each.join(u, "u").repartition(parts, "v").join(v, "v").select("u", "v", "su", "sv")
     return in_arrow(pairs, run, "u binary, v binary, like boolean").where("like").select("u", "v")
 
 
+def _contracted(batches):
+    """Of one task's edges u, v: each node with the smallest node of its part, but for those themselves."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    ends = pa.chunked_array([*table.column("u").chunks, *table.column("v").chunks])
+    nodes = ends.unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    a, b = pc.index_in(ends, value_set=nodes).to_numpy().reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.record_batch([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], ["u", "v"])
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its part) for all nodes of the edges u, v. Large and small stars by turns, each step written
-    to the shared folder, until nothing changes."""
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", planned_bytes(edges))
+    """node, root (the smallest node of its part) for all nodes of the edges u, v. Each task contracts its own edges; if there is more than one task's
+    worth of them, large and small stars follow by turns until nothing changes. Each step is written to the shared folder."""
+    spark = edges.sparkSession
+    parts = tasks(spark, planned_bytes(edges))
+    edges = stored(in_arrow(edges.where("u <> v").select("u", "v").coalesce(parts), _contracted, "u binary, v binary"), "edges")
     said = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while parts > 1:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(parts, "u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition(parts, "u").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.col("v").alias("a"), "m").unionByName(lower.select(F.col("u").alias("a"), "m")).where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
-        edges, before = stored(small, "edges", 0 if said is None else 32 * said[0]), said
+        small = large.join(lower, "u").select(F.col("v").alias("a"), "m").unionByName(lower.select(F.col("u").alias("a"), "m")).where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).repartition(parts, "u").distinct()
+        edges, before = stored(small, "edges"), said
         # a digest of all edges tells whether a step has changed any
         said = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if said == before:
@@ -219,6 +245,7 @@ def _side(name: str, *more: str) -> Column:
 
 def _hub_links(members: DataFrame, turn: int) -> DataFrame:
     """members: band, key, node, root, total, own. Each against its group's hub: any member at first, then one of the group's largest part."""
+    members = members.repartition(tasks(members.sparkSession, planned_bytes(members)), "band", "key")
     h = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "total", "own"))
     if turn:
         parts = members.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), h.alias("hub"))
@@ -258,35 +285,47 @@ def block_pairs(table: pa.Table) -> pa.Table:
 
 def _pair_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of different parts within a group that may be similar. Large groups are compared block by block, a pair of blocks at a time."""
-    sized = members.join(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")), ["band", "key"])
-    rows = stored(sized.join(sets.select("node", "parts", "bands"), "node"), "last", planned_bytes(sets))
-    small, chunks = rows.where(F.col("n") <= SMALL), F.ceil(F.col("n") / BLOCK).cast("int")
+    size = planned_bytes(sets)
+    parts = tasks(sets.sparkSession, size)
+    dealt = members.repartition(parts, "band", "key")
+    sized = dealt.join(dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")), ["band", "key"])
+    rows = stored(sized.repartition(parts, "node").join(sets.select("node", "parts", "bands").repartition(parts, "node"), "node"), "last", size)
+    small, chunks = rows.where(F.col("n") <= SMALL).repartition(parts, "band", "key"), F.ceil(F.col("n") / BLOCK).cast("int")
     both = small.select("band", "key", _side("a", "parts")).join(small.select("band", "key", _side("b", "parts")), ["band", "key"])
     few = both.where((F.col("a.root") < F.col("b.root")) & able("a", "b") & able_by_parts("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     dealt = rows.where(F.col("n") > SMALL).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("other", "n")
+    dealt = dealt.repartition(parts, "band", "key", "low", "high")
     return few.unionByName(dealt.groupBy("band", "key", "low", "high").applyInArrow(lambda t: block_pairs(t), "u binary, v binary"))
 
 
 def linked(signed: DataFrame, n: int) -> DataFrame:
     """node, root of all texts that are similar to another one. signed: as from _signed, a text once or more often."""
-    size = planned_bytes(signed)
-    sets = stored(signed.groupBy("node").agg(F.first("total").alias("total"), F.first("own").alias("own"), F.first("parts").alias("parts"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "sets", size)
-    members = sets.select("node", "total", "own", F.posexplode("bands").alias("band", "key"))
+    spark, size = signed.sparkSession, planned_bytes(signed)
+    parts = tasks(spark, size)
+    firsts = [F.first(c).alias(c) for c in ("total", "own", "parts", "bands", "shingles")]
+    sets = stored(signed.repartition(parts, "node").groupBy("node").agg(*firsts), "sets", size)
+    members = sets.select("node", "total", "own", F.posexplode("bands").alias("band", "key")).repartition(parts, "band", "key")
     groups = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "key")
     members = stored(members.join(groups, ["band", "key"], "left_semi"), "bands", size)
-    good, roots = None, None
+    roots = None
     for turn in range(ROUNDS + 1):
-        with_root = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if roots is None:
+            with_root = members.withColumn("root", F.col("node"))
+        else:
+            with_root = members.repartition(parts, "node").join(roots.repartition(parts, "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        with_root = with_root.repartition(parts, "band", "key")
         split = with_root.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "key")
         open_groups = stored(with_root.join(split, ["band", "key"], "left_semi"), "open", size)
         if open_groups.isEmpty():
             break
         links = _hub_links(open_groups, turn) if turn < ROUNDS else _pair_links(open_groups, sets)
-        found = stored(_verified(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), sets, n), "links", size)
-        good = found if good is None else good.unionByName(found)
-        roots = stored(connected(good), "roots", size)
-    return roots if roots is not None else signed.sparkSession.createDataFrame([], "node binary, root binary")
+        found = stored(_verified(links, sets, n, parts), "links", size)
+        if found.isEmpty():
+            continue
+        # parts found before are carried on as a link from each member to its root
+        roots = connected(found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
