@@ -45,8 +45,9 @@ def cores(spark: SparkSession) -> int:
 
 
 def tasks(spark: SparkSession, size: int) -> int:
-    """How many tasks so many bytes are worth: one for 1 MB, up to four for each core, or one for 16 MB."""
-    return max(1, min(4 * cores(spark), size >> 20), min(size >> 24, 1 << 20))
+    """How many tasks so many bytes are worth: one for 1 MB, up to four for each core, or one for 16 MB; never more than the session's width. (What
+    the planner can't tell is very large.)"""
+    return max(1, min(4 * cores(spark), size >> 20), min(size >> 24, width(spark)))
 
 
 def stored(df: DataFrame, name: str, size: int | None = None) -> DataFrame:

@@ -303,6 +303,20 @@ def test_pairs_that_share_one_large_group(spark, monkeypatch):
         assert len(got) == len(set(got)) == 40 * 39 // 2 and all(len(x) == 2 for x in got)
 
 
+def test_connected_parts(spark, monkeypatch):
+    """Edges of several tasks: a long chain, a star, loops and pairs, each way round."""
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 130)] + [(200, 200), (301, 300), (300, 301), (400, 401)]
+    pairs = [p if rng.random() < 0.5 else p[::-1] for p in pairs]
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame([(bytes([a >> 8, a & 255]), bytes([b >> 8, b & 255])) for a, b in pairs], "u binary, v binary").repartition(5)
+    want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)} | {300: 300, 301: 300, 400: 400, 401: 400}
+    for parts in (1, 4):
+        monkeypatch.setattr(minhash, "tasks", lambda spark, size, parts=parts: parts)
+        got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in minhash.connected(edges).collect()}
+        assert got == want
+
+
 def test_one_of_each(edge):
     out = minhash.one_of_each(edge)
     assert out.columns == edge.columns
