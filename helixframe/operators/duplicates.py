@@ -84,11 +84,13 @@ def mark(reads: DataFrame) -> DataFrame:
 
 
 def optical_members(mates: DataFrame, reads: DataFrame) -> DataFrame:
-    """For pairs at a place with more than one: origin, strand (of the first read in the template), rg, tile, x, y, idx."""
+    """For pairs at a place with more than one (and no more than MOST on their strand): origin, strand (of the first read in the template), rg, tile, x, y, idx."""
     shared = with_origin(mates)
-    sizes = shared.groupBy("origin").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > 1) & (F.col("size") <= MOST))
+    sizes = shared.groupBy("origin").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     first = F.when(F.col("a.flag").bitwiseAND(64) != 0, F.col("a")).otherwise(F.col("b"))
     rows = shared.join(sizes, "origin").select("lib", "origin", "qname", first.alias("f")).select("lib", "origin", F.col("f.rev").alias("strand"), F.col("f.idx").alias("idx"), C.tile_info().alias("t")).where("t IS NOT NULL")
+    full = rows.groupBy("origin", "strand").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
+    rows = rows.join(full, ["origin", "strand"], "left_anti")
     return rows.join(reads.select("idx", C.tag("RG").alias("rg")), "idx").select("lib", "origin", "strand", "rg", F.col("t.tile").alias("tile"), F.col("t.x").alias("x"), F.col("t.y").alias("y"), "idx")
 
 

@@ -29,9 +29,11 @@ FLAT_SQL = """
 s1 AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s0),
 s2 AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM s1),
 flat AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM s2 GROUP BY chrom, island)"""
+#: Sites of all events are spread over so many positions where few of them are to lie on the reads' contigs.
+FEW = 270_000
 QUERY_INTERVALS = """
 SELECT 'chr'||(1 + o_orderkey % 4) AS chrom, CAST((o_orderkey*77) % 5300 AS INT) AS start, CAST((o_orderkey*77) % 5300 + o_orderkey % 90 AS INT) AS {end}
-FROM {orders} WHERE o_orderkey % 5 = 0 GROUP BY 1, 2, 3"""
+FROM {orders} GROUP BY 1, 2, 3"""
 GROUPS = splitting.contig_groups([(n, x) for _, n, x in V.CONTIGS[:3]] + [("chr4", 100)])
 GROUP_SQL = "CASE " + " ".join(f"WHEN c = '{k}' THEN '{v}'" for k, v in GROUPS.items()) + " END"
 
@@ -73,13 +75,13 @@ CIGAR_FACTS = [(0, 0, False), (50, 45, True), (50, 45, True), (45, 40, True), (5
 
 
 def _edge_cigars(spark, sf):
-    rows = V.load(spark, sf, "orders").where(F.col("o_orderkey") <= 4 * len(CIGARS)).select(F.get(F.array(*[F.lit(c) for c in CIGARS]), (F.col("o_orderkey") % len(CIGARS)).cast("int")).alias("cigar"), F.col("o_orderkey").alias("idx"))
+    rows = V.load(spark, sf, "orders").select(F.get(F.array(*[F.lit(c) for c in CIGARS]), (F.col("o_orderkey") % len(CIGARS)).cast("int")).alias("cigar"), F.col("o_orderkey").alias("idx"))
     o = C.ops()
     return rows.select("idx", C.read_length(o).alias("read_length"), C.reference_length(o).alias("reference_length"), C.well_formed().alias("well_formed"), C.cigar_text(C.merged(o)).alias("merged"))
 
 
 _MERGED = [("20M" if c == "10M10M" else "50M" if c == "0M50M" else c.upper()) for c in CIGARS]
-_EDGE_SQL = "WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}, {b}, {str(w).lower()}, '{m}')" for i, ((a, b, w), m) in enumerate(zip(CIGAR_FACTS, _MERGED, strict=True))) + f") t(i, read_length, reference_length, well_formed, merged)) SELECT o_orderkey AS idx, read_length, reference_length, well_formed, merged FROM orders JOIN f ON o_orderkey % {len(CIGARS)} = i WHERE o_orderkey <= {4 * len(CIGARS)}"
+_EDGE_SQL = "WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}, {b}, {str(w).lower()}, '{m}')" for i, ((a, b, w), m) in enumerate(zip(CIGAR_FACTS, _MERGED, strict=True))) + f") t(i, read_length, reference_length, well_formed, merged)) SELECT o_orderkey AS idx, read_length, reference_length, well_formed, merged FROM orders JOIN f ON o_orderkey % {len(CIGARS)} = i"
 
 _NAMED = "multiple proper unmapped next_unmapped reversed next_reversed first last secondary qc_failed duplicate supplementary".split()
 
@@ -115,7 +117,7 @@ QUERIES = {
     "filter_mapq": _of(lambda r, s, d: filters.mapping_quality(r, 20), "idx", "mapq"),
     "filter_exact": _of(lambda r, s, d: filters.exactly_mapped(r.withColumn("cigar", F.when(F.col("k") % 3 == 0, "20M2D30M").otherwise(F.col("cigar"))))),
     "filter_exact_strict": _of(lambda r, s, d: filters.exactly_mapped_strict(r)),
-    "filter_overlap_bed": _of(lambda r, s, d: filters.overlapping_regions(r, V.sites(s, d, 100)), "idx", "rname", "pos"),
+    "filter_overlap_bed": _of(lambda r, s, d: filters.overlapping_regions(r, V.sites(s, d, FEW)), "idx", "rname", "pos"),
     "remove_duplicates": _of(lambda r, s, d: filters.without_duplicates(r.withColumn("flag", F.when(F.col("k") % 9 == 0, F.col("flag") + 1024).otherwise(F.col("flag"))))),
     "remove_spread_copies": _of(lambda r, s, d: filters.without_spread_copies(r, True)),
     "clear_duplicate_flag": _of(lambda r, s, d: filters.cleared_duplicate_flag(r.withColumn("flag", F.col("flag") + 1024))),
@@ -147,7 +149,7 @@ QUERIES = {
     "intervals_flatten": lambda spark, sf: intervals.flattened(V.sites(spark, sf)),
     "intervals_overlap": lambda spark, sf: intervals.overlaps(_queries(spark, sf), V.sites(spark, sf)),
     "intervals_intersect": lambda spark, sf: intervals.intersecting(_queries(spark, sf), intervals.flattened(V.sites(spark, sf))),
-    "intervals_sorted": lambda spark, sf: intervals.sorted_by_start(V.sites(spark, sf, 100)),
+    "intervals_sorted": lambda spark, sf: intervals.sorted_by_start(V.sites(spark, sf, FEW)),
     "reads_of_regions": lambda spark, sf: intervals.reads_of_regions(V.reads(spark, sf), _regions(spark, sf)).select("idx", "region_id"),
 }
 
@@ -157,7 +159,7 @@ def _queries(spark, sf):
 
 
 def _regions(spark, sf):
-    return V.sites(spark, sf, 100).withColumn("region_id", F.col("start").cast("long") * 10 + F.substring("chrom", 4, 1).cast("long")).groupBy("region_id").agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return V.sites(spark, sf, FEW).withColumn("region_id", F.col("start").cast("long") * 10 + F.substring("chrom", 4, 1).cast("long")).groupBy("region_id").agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def _part_with_spread(spark, sf):
@@ -166,7 +168,7 @@ def _part_with_spread(spark, sf):
 
 
 _QI = "q AS (" + QUERY_INTERVALS.replace("{end}", '"end"').replace("{orders}", "orders") + ")"
-_S = lambda every: f"s0 AS ({V.sites_sql(every)}), {FLAT_SQL}"
+_S = lambda spread: f"s0 AS ({V.sites_sql(spread)}), {FLAT_SQL}"
 _HEADER_FIT = "coalesce(pos <= 5100 - 150*refid, false)"
 _GOOD = f"(flag & 1796) = 0 AND pos > 0 AND {_HEADER_FIT} AND is_sr = 0"
 
@@ -176,7 +178,7 @@ SQL = {
     "filter_mapq": _q("mapq >= 20", "idx, mapq"),
     "filter_exact": _q("k % 3 <> 0"),
     "filter_exact_strict": _q("x0 = 1 AND x1 = 0 AND xm = 0"),
-    "filter_overlap_bed": f"WITH {R}, {_S(100)} SELECT idx, rname, pos FROM r WHERE EXISTS (SELECT 1 FROM flat WHERE chrom = rname AND start < CASE WHEN flag & 4 <> 0 THEN pos WHEN rev=1 THEN pos + 49 - c ELSE b + 49 END AND \"end\" >= pos)",
+    "filter_overlap_bed": f"WITH {R}, {_S(FEW)} SELECT idx, rname, pos FROM r WHERE EXISTS (SELECT 1 FROM flat WHERE chrom = rname AND start < CASE WHEN flag & 4 <> 0 THEN pos WHEN rev=1 THEN pos + 49 - c ELSE b + 49 END AND \"end\" >= pos)",
     "remove_duplicates": _q("k % 9 <> 0"),
     "remove_spread_copies": _q("is_sr = 0"),
     "clear_duplicate_flag": _q("true"),
@@ -207,10 +209,10 @@ SQL = {
     "split_single_end": f"WITH {R}, {GRP_SQL}, {SPREAD_SQL} SELECT g AS part, count(*) AS n, CAST(sum(idx) AS BIGINT) AS sum_idx FROM own GROUP BY g",
     "merge_split": f"WITH {R}, {GRP_SQL}, {SPREAD_SQL} SELECT idx, rname, rnext FROM own WHERE is_sr = 0",
     "part_with_spread": f"WITH {R}, {GRP_SQL}, {SPREAD_SQL} SELECT idx, rname FROM own WHERE is_sr = 0 AND g = 'group00001'",
-    "intervals_flatten": f"WITH {_S(10)} SELECT * FROM flat",
-    "intervals_overlap": f"WITH {_QI}, {_S(10)} SELECT *, EXISTS (SELECT 1 FROM flat WHERE flat.chrom = q.chrom AND flat.start < q.\"end\" AND flat.\"end\" >= q.start) AS overlaps FROM q",
-    "intervals_intersect": f"WITH {_QI}, {_S(10)} SELECT q.start AS query_start, q.\"end\" AS query_end, flat.* FROM q JOIN flat ON flat.chrom = q.chrom AND flat.\"end\" >= q.start AND flat.start <= q.\"end\"",
-    "intervals_sorted": V.sites_sql(100),
-    "reads_of_regions": f"""WITH {R}, s0 AS ({V.sites_sql(100)}), g AS (SELECT CAST(start AS BIGINT) * 10 + CAST(substring(chrom, 4, 1) AS BIGINT) AS region_id, min(chrom) AS chrom, min(start) AS s, max("end") AS e FROM s0 GROUP BY 1)
+    "intervals_flatten": f"WITH {_S(27_000)} SELECT * FROM flat",
+    "intervals_overlap": f"WITH {_QI}, {_S(27_000)} SELECT *, EXISTS (SELECT 1 FROM flat WHERE flat.chrom = q.chrom AND flat.start < q.\"end\" AND flat.\"end\" >= q.start) AS overlaps FROM q",
+    "intervals_intersect": f"WITH {_QI}, {_S(27_000)} SELECT q.start AS query_start, q.\"end\" AS query_end, flat.* FROM q JOIN flat ON flat.chrom = q.chrom AND flat.\"end\" >= q.start AND flat.start <= q.\"end\"",
+    "intervals_sorted": V.sites_sql(FEW),
+    "reads_of_regions": f"""WITH {R}, s0 AS ({V.sites_sql(FEW)}), g AS (SELECT CAST(start AS BIGINT) * 10 + CAST(substring(chrom, 4, 1) AS BIGINT) AS region_id, min(chrom) AS chrom, min(start) AS s, max("end") AS e FROM s0 GROUP BY 1)
  SELECT idx, region_id FROM r JOIN g ON chrom = rname AND s - 100 <= CASE WHEN rev=1 THEN pos + 49 - c ELSE b + 49 END AND e + 100 >= pos""",
 }

@@ -9,7 +9,7 @@ from helixframe.operators import filters
 from helixframe.operators import recalibration as B
 from helixframe.plans import views as V
 
-KNOWN = 100
+KNOWN = 270_000
 
 
 def _observed(s, d):

@@ -13,7 +13,7 @@ CONTIGS = [(i, f"chr{i + 1}", 5300 + 40 * i) for i in range(4)]
 
 READS = """
 SELECT CAST(k * 2 + m AS BIGINT) AS idx, k, CAST(m AS INT) AS m, CAST(c AS INT) AS c, CAST(b AS BIGINT) AS b,
- 'I'||k||':1:FC:1:'||(1101 + k % 3)||':'||((u*13) % 400)||':'||((u*29) % 400) AS qname,
+ 'I'||k||':1:FC:1:'||(1101 + g % 3)||':'||((u*13) % 160)||':'||((u*29) % 160) AS qname,
  CAST(pr + 4*unm + 16*rev + 32*pr*(1-rev) + 64*pr*(1-m) + 128*pr*m + 256*sec + 512*qcf + 8*pr*mun AS INT) AS flag,
  'chr'||(1 + g % 4) AS rname, CAST(g % 4 AS INT) AS refid,
  CAST(CASE WHEN rev=1 THEN b ELSE b+c END AS INT) AS pos, CAST(u % 61 AS INT) AS mapq,
@@ -34,10 +34,11 @@ FROM (SELECT k, m, g, u, u % 4 AS c, 1+(g*37)%5000 + m*200 AS b,
 WHERE pr=1 OR m=0
 """
 
-#: Intervals: 0-based starts, one in five events.
+#: Intervals with 0-based starts, one of each event, spread over {spread} positions; the contigs' own 5300 are a part of these, so that not all of them is
+#: covered.
 SITES = """
-SELECT 'chr'||(1 + event_id % 4) AS chrom, CAST((event_id*131) % 5400 AS INT) AS start, CAST((event_id*131) % 5400 + 1 + event_id % 12 AS INT) AS "end"
-FROM {events} WHERE event_id % {every} IN (0, 7)
+SELECT 'chr'||(1 + event_id % 4) AS chrom, CAST((event_id*131) % {spread} AS INT) AS start, CAST((event_id*131) % {spread} + 1 + event_id % 12 AS INT) AS "end"
+FROM {events}
 """
 
 QUAL_SQL = "list_transform(range(0, 50), lambda i: CAST((k*31 + i*17 + m*7) % 42 AS INT))"
@@ -52,8 +53,8 @@ def reads_sql(table: str = "orders") -> str:
     return READS.replace("{orders}", table)
 
 
-def sites_sql(every: int = 10, table: str = "events") -> str:
-    return SITES.replace("{events}", table).replace("{every}", str(every))
+def sites_sql(spread: int = 27_000, table: str = "events") -> str:
+    return SITES.replace("{events}", table).replace("{spread}", str(spread))
 
 
 #: For DuckDB: a row for each base of each read, with its place i, quality q, base code and the reference's.
@@ -117,9 +118,9 @@ def planted_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("is_sr = 0").select("idx", "qname", "flag", "rname", "pos", F.lit(60).alias("mapq"), "cigar", "rnext", "pnext", "tlen", F.array_join(F.transform(i, letter), "").alias("seq"), qual.alias("qual"), tags.alias("tags"))
 
 
-def sites(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+def sites(spark: SparkSession, sf_dir: str, spread: int = 27_000) -> DataFrame:
     """chrom, start, end."""
-    return spark.sql(SITES.replace('"end"', "`end`").replace("{every}", str(every)), events=load(spark, sf_dir, "events").select("event_id"))
+    return spark.sql(SITES.replace('"end"', "`end`").replace("{spread}", str(spread)), events=load(spark, sf_dir, "events").select("event_id"))
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
