@@ -1,27 +1,32 @@
 """Base-quality recalibration: observe, count, estimate, quantise, apply.
 
 A read meets its stretch of the reference and the known sites near it in one equi join on (contig, chunk): a row of context() holds a
-chunk and the next one, so a read that is shorter than a chunk needs the row of its start only. Bases are exploded after that, and the
-three tables come from one aggregation by grouping sets, partially done map-side. All of it is JVM-side expressions; the best quality of a
+chunk and the next one, so a read that is shorter than a chunk needs the row of its start only. Bases are laid out and judged by Arrow kernels, whole batches of
+reads at once, and the three tables come from one aggregation by grouping sets, partially done map-side. The best quality of a
 count is an argmax over 61 candidates inside a higher-order function."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import columns as C
 from helixframe.operators.filters import recalibratable
 from helixframe.operators.intervals import flattened
+from helixframe.operators.kernels import bases
 from helixframe.schema import LAST, MULTIPLE, NEXT_REVERSED, REVERSED
 
 CHUNK, MAX_CYCLE = 1000, 500
 LEAST_QUALITY, TOP_QUALITY, BEST_ESTIMATE, LOW_TAIL = 6, 93, 60, 2
 MOST_OBSERVATIONS = 2**31 - 2
 LETTERS = "ACGT"
+_PAIRS = pa.array([a + b for a in LETTERS for b in LETTERS])
 
 
 def context(reference: DataFrame, sites: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -37,14 +42,16 @@ def context(reference: DataFrame, sites: DataFrame | None = None, chunk: int = C
     return rows.join(gathered, ["contig", "chunk"], "left").withColumn("sites", F.coalesce("sites", F.array().cast("array<struct<start:int,end:int>>")))
 
 
-def reference_positions(pos: Column, cigar_ops: Column) -> Column:
-    """For each base of the read: the position it is aligned to, -1 if soft clipped, null if inserted."""
-    state = F.struct(pos.cast("int").alias("p"), F.array().cast("array<int>").alias("out"))
+def reference_positions(pos: Column, cigar_ops: Column, filled: bool = False) -> Column:
+    """For each base of the read: the position it is aligned to, -1 if soft clipped, null if inserted (filled: that of the aligned base before it, or pos)."""
+    state = F.struct(pos.cast("int").alias("p"), pos.cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        n = x["len"]
-        bases = F.when(x["op"].isin("M", "=", "X"), F.sequence(a["p"], a["p"] + n - 1)).when(x["op"] == "S", F.array_repeat(F.lit(-1), n)).when(x["op"] == "I", F.array_repeat(F.lit(None).cast("int"), n)).otherwise(F.array().cast("array<int>"))
-        return F.struct((a["p"] + F.when(x["op"].isin(*C.REFERENCE_OPS), n).otherwise(0)).alias("p"), F.concat(a["out"], bases).alias("out"))
+        n, matched = x["len"], x["op"].isin("M", "=", "X")
+        inserted = a["last"] if filled else F.lit(None).cast("int")
+        bases = F.when(matched, F.sequence(a["p"], a["p"] + n - 1)).when(x["op"] == "S", F.array_repeat(F.lit(-1), n)).when(x["op"] == "I", F.array_repeat(inserted, n)).otherwise(F.array().cast("array<int>"))
+        moved = a["p"] + F.when(x["op"].isin(*C.REFERENCE_OPS), n).otherwise(0)
+        return F.struct(moved.alias("p"), F.when(matched, a["p"] + n - 1).otherwise(a["last"]).alias("last"), F.concat(a["out"], bases).alias("out"))
 
     return F.aggregate(cigar_ops, state, step, lambda a: a["out"])
 
@@ -61,7 +68,7 @@ def clipped(reads: DataFrame) -> DataFrame:
     """reads with `bases`: the bases that are left without soft clips and adaptor, as array<struct<p, q, s>> (position, quality, letter). An
     inserted base goes with the aligned base before it."""
     p = reference_positions(F.col("pos"), C.ops())
-    filled = F.aggregate(p, F.struct(F.col("pos").cast("int").alias("last"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct(F.coalesce(F.when(x > 0, x), a["last"]).alias("last"), F.concat(a["out"], F.array(F.coalesce(x, a["last"]))).alias("out")), lambda a: a["out"])
+    filled = reference_positions(F.col("pos"), C.ops(), filled=True)
     zipped = F.transform(F.arrays_zip(p.alias("p"), filled.alias("f"), F.col("qual").alias("q"), F.split("seq", "").alias("s")), lambda x: x)
     facts = F.struct(adaptor_boundary().alias("b"), C.end_position().alias("end"), C.some(REVERSED).alias("rev"), F.col("pos").alias("pos"))
 
@@ -111,21 +118,67 @@ def group_covariate(reads: DataFrame, groups: DataFrame) -> DataFrame:
     return out.withColumn("read_group", F.coalesce("read_group", F.when(F.col("__rg").isNull(), F.raise_error(F.concat(F.lit("no read group: "), F.col("qname")))).otherwise(F.col("__rg")))).drop("__rg")
 
 
-def observations(reads: DataFrame, dictionary: DataFrame, groups: DataFrame, reference: DataFrame, sites: DataFrame | None = None, chunk: int = CHUNK, max_cycle: int = MAX_CYCLE) -> DataFrame:
-    """idx, read_group, qual, cycle, context, mismatch of each base that counts."""
-    good = group_covariate(clipped(recalibratable(reads, dictionary)), groups)
-    narrow = good.select("idx", "flag", "read_group", F.col("rname").alias("contig"), F.floor((F.col("pos") - 1) / chunk).cast("int").alias("chunk"), "bases")
-    near = narrow.join(context(reference, sites, chunk).withColumnRenamed("bases", "__ref"), ["contig", "chunk"])
+def _observed(max_cycle: int):
+    """Each base that counts, of a batch of reads with their stretch of the reference and the sites near them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = bases.Flat(b)
+            pos, flag, end = bases.numbers(b, "pos"), bases.numbers(b, "flag"), bases.numbers(b, "end")
+            boundary = bases.numbers(b, "boundary", -1)
+            place, goes = np.full(len(flat.row), bases.INSERTED, np.int64), np.zeros(len(flat.row), np.int64)
+            for cigar, reads in flat.by_cigar():
+                p, f = bases.aligned(cigar)
+                for n in np.unique(flat.n[reads]).tolist():
+                    own = reads[flat.n[reads] == n]
+                    k = min(n, len(p))
+                    at = flat.first[own][:, None] + np.arange(k)
+                    place[at], goes[at] = p[:k], f[:k]
+            row, reverse = flat.row, (flag & REVERSED) != 0
+            seen = pos[row] + goes
+            inside = ((boundary >= pos) & (boundary <= end))[row]
+            cut = inside & np.where(reverse[row], seen <= boundary[row], seen >= boundary[row])
+            keep = np.flatnonzero((place != bases.SOFT) & ~cut)
+            row, place, seen, qual, seq = row[keep], place[keep], seen[keep], flat.qual[keep], flat.seq[keep]
+            length = np.bincount(row, minlength=b.num_rows)
+            index = np.arange(len(row)) - (np.cumsum(length) - length)[row]
+            order = np.where((flag & (LAST | MULTIPLE)) == (LAST | MULTIPLE), -1, 1)[row]
+            cycles = order * np.where(reverse[row], length[row] - index, index + 1)
+            context_of = bases.context_codes(seq, qual, row, index, reverse[row], LOW_TAIL)
+            counts = (qual >= LEAST_QUALITY) & np.isin(seq, np.frombuffer(LETTERS.encode(), np.uint8))
+            sites = b.column("sites")
+            of = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(sites), 0).to_numpy(zero_copy_only=False))
+            if len(of):
+                low, high = (sites.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+                n = length[of]
+                each = np.repeat(np.arange(len(of)), n)
+                at = np.arange(len(each)) - (np.cumsum(n) - n)[each] + (np.cumsum(length) - length)[of[each]]
+                counts[at[(seen[at] >= low[each]) & (seen[at] <= high[each])]] = False
+            keep = np.flatnonzero(counts)
+            row, place, seq, cycles, context_of = row[keep], place[keep], seq[keep], cycles[keep], context_of[keep]
+            if len(cycles) and np.abs(cycles).max() > max_cycle:
+                raise ValueError("a read has more cycles than the maximum")
+            ref = bases.text_at(b.column("ref").to_pylist(), row, place)
+            take = pa.array(row)
+            yield pa.record_batch({
+                "idx": b.column("idx").cast(pa.int64()).take(take), "read_group": b.column("read_group").take(take), "qual": pa.array(qual[keep], pa.int32()), "cycle": pa.array(cycles, pa.int32()),
+                "context": _PAIRS.take(pa.array(context_of, mask=context_of < 0)), "mismatch": pa.array((place != bases.INSERTED) & (ref != seq)),
+            })
+
+    return run
 
-    def counted(ctx: Column) -> Column:
-        rows = F.transform("bases", lambda x, i: F.struct(x["q"].alias("qual"), x["s"].alias("s"), x["p"].alias("p"), x["f"].alias("f"), cycle(i, F.size(ctx)).cast("int").alias("cycle"), F.get(ctx, i).alias("context")))
-        return F.filter(rows, lambda x: (x["qual"] >= LEAST_QUALITY) & x["s"].isin(*LETTERS) & ~F.exists("sites", lambda s: (x["f"] >= s["start"]) & (x["f"] <= s["end"])))
 
-    at = F.col("b.p") - F.col("chunk") * chunk
-    mismatch = F.when(F.col("b.p").isNull(), F.lit(False)).otherwise(F.upper(F.substring(F.col("__ref"), at, F.lit(1))) != F.col("b.s"))
-    out = near.withColumn("b", F.explode(C.bound(contexts(F.col("bases")), counted)))
-    checked = F.when(F.abs("b.cycle") > max_cycle, F.raise_error(F.lit("a read has more cycles than the maximum"))).otherwise(F.col("b.cycle"))
-    return out.select("idx", "read_group", F.col("b.qual").alias("qual"), checked.cast("int").alias("cycle"), F.col("b.context").alias("context"), mismatch.alias("mismatch"))
+def observations(reads: DataFrame, dictionary: DataFrame, groups: DataFrame, reference: DataFrame, sites: DataFrame | None = None, chunk: int = CHUNK, max_cycle: int = MAX_CYCLE) -> DataFrame:
+    """idx, read_group, qual, cycle, context, mismatch of each base that counts: `clipped`, `cycle` and `contexts` for whole batches of reads at once."""
+    good = group_covariate(recalibratable(reads, dictionary), groups)
+    narrow = good.select("idx", "flag", "read_group", F.col("pos").cast("int").alias("pos"), C.end_position().cast("int").alias("end"), adaptor_boundary().cast("int").alias("boundary"), "cigar", "seq", "qual", F.col("rname").alias("contig"), F.floor((F.col("pos") - 1) / chunk).cast("int").alias("chunk"))
+    near = narrow.join(context(reference, sites, chunk).withColumnRenamed("bases", "__ref"), ["contig", "chunk"])
+    ref = F.upper(F.substring("__ref", F.col("pos") - F.col("chunk") * chunk, F.col("end") - F.col("pos") + 1))
+    own = F.filter("sites", lambda s: (s["start"] <= F.col("end")) & (s["end"] >= F.col("pos")))
+    rows = near.select("idx", "read_group", "flag", "pos", "end", "boundary", "cigar", "seq", "qual", ref.alias("ref"), own.alias("sites"))
+    return rows.mapInArrow(_observed(max_cycle), "idx long, read_group string, qual int, cycle int, context string, mismatch boolean")
 
 
 def tables(observed: DataFrame) -> DataFrame:
@@ -241,50 +294,51 @@ def corrections(tabled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return quality, rest.select("kind", "read_group", "qual", "cycle", "context", (empirical(F.col("observations"), F.col("mismatches"), F.col("base")) - F.col("base")).alias("delta"))
 
 
-def lookup(tabled: DataFrame, max_cycle: int = MAX_CYCLE) -> DataFrame:
-    """One row for each read group: base, by_cycle, by_context, dense arrays of doubles by quality (0 to 93), by quality and cycle, by quality and
-    context. Their size is fixed by the parameters, not by the input."""
-    quality, rest = corrections(tabled)
-    width = 2 * max_cycle + 1
-    pairs = [a + b for a in LETTERS for b in LETTERS]
-
-    def dense(rows: DataFrame, slot: Column, value: str, size: int, name: str) -> DataFrame:
-        made = rows.groupBy("read_group").agg(F.map_from_entries(F.collect_list(F.struct(slot.alias("k"), F.col(value).alias("v")))).alias("m"))
-        entries = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-        filled = F.transform(F.array_sort(F.concat(entries, F.transform(F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.map_keys("m")), lambda i: F.struct(i.alias("k"), F.lit(None).cast("double").alias("v"))))), lambda e: e["v"])
-        return made.select("read_group", filled.alias(name))
-
-    cycles, ctx = rest.where("kind = 'cycle'"), rest.where("kind = 'context'")
-    code = F.array_position(F.array(*[F.lit(p) for p in pairs]), F.col("context")) - 1
-    base = dense(quality, F.col("qual").cast("int"), "base", TOP_QUALITY + 1, "base")
-    by_cycle = dense(cycles, (F.col("qual") * width + F.col("cycle") + max_cycle).cast("int"), "delta", (TOP_QUALITY + 1) * width, "by_cycle")
-    by_context = dense(ctx, (F.col("qual") * 16 + code).cast("int"), "delta", (TOP_QUALITY + 1) * 16, "by_context")
-    return base.join(by_cycle, "read_group", "left").join(by_context, "read_group", "left")
-
-
 def applied(reads: DataFrame, groups: DataFrame, tabled: DataFrame, levels: int = 0, static: Sequence[int] = (), max_cycle: int = MAX_CYCLE) -> DataFrame:
     """reads with recalibrated qualities. Qualities below 6, and reads of groups that were never seen, stay. Cycles and contexts are
-    those of the unclipped read."""
-    final = finalized(tabled)
-    table = quantized(observed_qualities(final), levels) if levels else list(range(TOP_QUALITY + 1))
+    those of the unclipped read. The tables are counted once and gathered: they have 94 qualities * (2 * max_cycle + 17) rows for each read group of the header at most."""
+    spark = reads.sparkSession
+    held = spark.createDataFrame(tabled.toArrow(), tabled.schema)
+    table = quantized(observed_qualities(finalized(held)), levels) if levels else list(range(TOP_QUALITY + 1))
     if static:
         steps = static_levels(static)
         table = [steps[q] for q in table]
-    out_of = F.array(*[F.lit(q) for q in table])
-    width = 2 * max_cycle + 1
-    rows = group_covariate(reads, groups).join(lookup(tabled, max_cycle), "read_group", "left")
-    zipped = F.transform(F.arrays_zip(F.col("qual").alias("q"), F.split("seq", "").alias("s")), lambda x: F.struct(x["q"].alias("q"), x["s"].alias("s")))
-    pairs = F.array(*[F.lit(a + b) for a in LETTERS for b in LETTERS])
-
-    def new(q: Column, i: Column, n: Column, ctx: Column) -> Column:
-        by_cycle = F.get("by_cycle", (q * width + cycle(i, n) + max_cycle).cast("int"))
-        by_context = F.get("by_context", (q * 16 + F.array_position(pairs, F.get(ctx, i)) - 1).cast("int"))
-        known = F.coalesce(F.get("base", q), F.get("__group", F.lit(0)))
-        estimate = known + F.coalesce(by_cycle, F.lit(0.0)) + F.coalesce(by_context, F.lit(0.0))
-        rounded = F.greatest(F.lit(1), F.least(F.lit(TOP_QUALITY), F.round(estimate).cast("int")))
-        return F.when((q < LEAST_QUALITY) | F.col("base").isNull(), q).otherwise(F.get(out_of, rounded))
-
-    by_group = combined(tabled).select("read_group", F.array(empirical(F.col("observations"), F.col("mismatches"), F.col("reported")).cast("double")).alias("__group"))
-    whole = rows.join(by_group, "read_group", "left")
-    recalibrated = C.bound(F.struct(F.col("qual").alias("qual"), F.size("qual").alias("n"), contexts(zipped).alias("ctx")), lambda v: F.transform(v["qual"], lambda q, i: new(q, i, v["n"], v["ctx"])))
-    return whole.withColumn("qual", recalibrated).drop("read_group", "base", "by_cycle", "by_context", "__group")
+    out_of = np.array(table, np.int64)
+    by_group = combined(held).select("read_group", empirical(F.col("observations"), F.col("mismatches"), F.col("reported")).alias("g")).toArrow().to_pylist()
+    place = {r["read_group"]: i for i, r in enumerate(by_group)}
+    base = np.array([[float(r["g"])] * (TOP_QUALITY + 1) for r in by_group]).reshape(-1, TOP_QUALITY + 1)
+    by_cycle, by_context = np.zeros((len(place), TOP_QUALITY + 1, 2 * max_cycle + 1)), np.zeros((len(place), TOP_QUALITY + 1, len(LETTERS) ** 2))
+    quality, rest = corrections(held)
+    for r in quality.toArrow().to_pylist():
+        base[place[r["read_group"]], r["qual"]] = r["base"]
+    for r in rest.toArrow().to_pylist():
+        at = place[r["read_group"]], r["qual"]
+        if r["kind"] == "cycle":
+            by_cycle[at][r["cycle"] + max_cycle] = r["delta"]
+        else:
+            by_context[at][LETTERS.index(r["context"][0]) * 4 + LETTERS.index(r["context"][1])] = r["delta"]
+    shared = spark.sparkContext.broadcast((place, base, by_cycle, by_context))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, base, by_cycle, by_context = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, flag = bases.Flat(b), bases.numbers(b, "flag")
+            group = np.array([place.get(g, -1) for g in b.column("read_group").to_pylist()])
+            row, qual, reverse = flat.row, flat.qual, (flag & REVERSED) != 0
+            index = np.arange(len(row)) - flat.first[row]
+            order = np.where((flag & (LAST | MULTIPLE)) == (LAST | MULTIPLE), -1, 1)[row]
+            cycles = order * np.where(reverse[row], flat.n[row] - index, index + 1)
+            pair = bases.context_codes(flat.seq, qual, row, index, reverse[row], LOW_TAIL)
+            at = np.flatnonzero((qual >= LEAST_QUALITY) & (qual <= TOP_QUALITY) & (group[row] >= 0))
+            g, q, c, x = group[row[at]], qual[at], cycles[at], pair[at]
+            known = np.abs(c) <= max_cycle
+            estimate = base[g, q] + np.where(known, by_cycle[g, q, np.where(known, c, 0) + max_cycle], 0) + np.where(x >= 0, by_context[g, q, np.maximum(x, 0)], 0)
+            qual[at] = out_of[np.clip(np.floor(estimate + 0.5), 1, TOP_QUALITY).astype(np.int64)]
+            old = b.column("qual")
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([flat.first, [len(row)]]), pa.int32()), pa.array(qual, old.type.value_type), mask=pc.is_null(old))
+            columns = [lists.cast(old.type) if n == "qual" else b.column(n) for n in b.schema.names if n != "read_group"]
+            yield pa.record_batch(columns, [n for n in b.schema.names if n != "read_group"])
+
+    return group_covariate(reads, groups).select(*[F.col(f"`{c}`") for c in reads.columns], "read_group").mapInArrow(run, reads.schema)
