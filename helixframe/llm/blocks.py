@@ -39,9 +39,12 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _careful() -> None:
-    """Arrays of 4 MB and more are taken from the system and given back to it: a worker that has had a large group doesn't keep its memory."""
+    """Arrays of 32 MB and more are taken from the system and given back to it, and no more than 64 MB are kept at the heap's end: a worker that has had a
+    large group doesn't keep its memory. Those of usual blocks (16 MB) are used again."""
     try:
-        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
     except (AttributeError, OSError):  # another C library
         pass
     pa.set_memory_pool(pa.system_memory_pool())
