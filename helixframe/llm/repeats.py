@@ -60,13 +60,19 @@ class Bytes:
             return mix((self.sums[at + n] - self.sums[at]) * powers(BASE, len(self.buffer))[1][at])
 
     def wholes(self, at: np.ndarray, seed: np.uint64) -> np.ndarray:
-        """Another hash of each window: nothing cancels out in it (see blocks)."""
+        """Another hash of each window (at: ascending): nothing cancels out in it (see blocks)."""
         if not len(at):
             return np.zeros(0, np.uint64)
         if self.length < 8:
             return hash_runs(self.raw + bytes(8), at, at + self.length, seed)
+        # only bytes of these windows are looked at: windows that overlap or touch make one stretch, stretches are put one behind the other
+        last = np.append(np.diff(at) > self.length, True)
+        begins, ends = at[np.append(True, last[:-1])], at[last] + self.length
+        raw = b"".join(self.raw[a:z] for a, z in zip(begins.tolist(), ends.tolist(), strict=True))
+        skipped = np.cumsum(begins - np.append(0, ends[:-1]))
+        at = at - skipped[np.cumsum(last) - last]
         # runs of eight bytes at every place, put together; the last of them may overlap
-        eight = mix(np.ndarray((len(self.raw) - 7,), "<u8", self.raw, 0, (1,)) ^ seed)
+        eight = mix(np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)) ^ seed)
         out, have, run, size, rest = None, 0, eight, 8, self.length // 8
         while have < self.length // 8 * 8:
             if rest & 1:

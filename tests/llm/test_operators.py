@@ -150,6 +150,18 @@ def test_repeats_with_hot_marks_and_small_blocks(spark, monkeypatch):
         check_repeats(rows, repeats.repeat_digests(docs).collect())
 
 
+def test_whole_windows_hash_alike_alone_and_among_others():
+    rng = np.random.default_rng(7)
+    text = rng.integers(97, 99, 3000).astype(np.uint8).tobytes() * 2
+    for length in (8, 13, 64, 200):
+        b = repeats.bytes_of([text], length)
+        for share in (0.002, 0.05, 1):
+            at = b.at[rng.random(len(b.at)) < share]
+            got = b.wholes(at, repeats.SEED)
+            assert [b.wholes(at[i : i + 1], repeats.SEED)[0] for i in range(0, len(at), 37)] == got[::37].tolist()
+            assert len(set(got.tolist())) == len({text[a : a + length] for a in at.tolist()})
+
+
 def test_without_repeats_keeps_columns(edge):
     out = repeats.without_repeats(edge)
     assert out.columns == edge.columns and out.schema.simpleString() == edge.schema.simpleString()
