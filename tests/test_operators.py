@@ -236,6 +236,19 @@ def test_alignment_files(spark, tmp_path):
     assert bam.read_header(bam.listed(str(tmp_path / "bam"), ".bam")[0])[0] == HEADER
 
 
+def test_alignment_files_by_format_or_ending(spark, tmp_path):
+    frame = reads(spark, [{"qname": f"r{i}", "cigar": "4M", "seq": "ACGT", "qual": [30] * 4} for i in range(20)]).coalesce(1)
+    for name, kind, compressed in (("a.bam", None, True), ("b.BAM", None, True), ("c.sam", None, False), ("d.txt", None, False), ("e", None, False), ("f.sam", "bam", True), ("g.bam", ".SAM", False)):
+        path = str(tmp_path / name)
+        bam.write_reads(frame, HEADER, path, kind)
+        assert bool(bam.listed(path, ".bam")) == compressed
+        assert sorted(r.qname for r in bam.reads_of(spark, path).collect()) == sorted(f"r{i}" for i in range(20))
+    for name, kind in (("h.cram", None), ("i.bam", "CRAM")):
+        with pytest.raises(ValueError):
+            bam.write_reads(frame, HEADER, str(tmp_path / name), kind)
+        assert not (tmp_path / name).exists()
+
+
 def test_large_bam_is_read_by_ranges(spark, tmp_path):
     rng = random.Random(1)
     frame = reads(spark, [{"qname": f"read{i}", "seq": "".join(rng.choice("ACGT") for _ in range(100)), "qual": [rng.randrange(60) for _ in range(100)], "cigar": "100M"} for i in range(3000)]).coalesce(1)
