@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -102,7 +102,7 @@ def run(reads: DataFrame, header: Header, o: Options) -> Result:
         metrics = duplicates.derived(duplicates.counters(reads, groups, optical))
     if o.remove_optional_reads:
         reads = filters.without_spread_copies(reads, "@sr" in header.user)
-        header.user.pop("@sr", None)
+        header = replace(header, user={k: v for k, v in header.user.items() if k != "@sr"})
     tables = o.tables
     if o.bqsr in ("full", "tables"):
         tables = recalibration.tables(recalibration.observations(reads, dictionary(), groups, o.reference, o.known_sites, max_cycle=o.max_cycle))

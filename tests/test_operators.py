@@ -236,6 +236,12 @@ def test_alignment_files(spark, tmp_path):
     assert bam.read_header(bam.listed(str(tmp_path / "bam"), ".bam")[0])[0] == HEADER
 
 
+def test_pipeline_leaves_the_header_given_to_it(spark):
+    head = Header(sq=HEADER.sq, rg=HEADER.rg, user={"@sr": [{"co": "x"}], "@xy": []})
+    got = run(reads(spark, [{"qname": "a"}]), head, Options(remove_optional_reads=True))
+    assert "@sr" in head.user and list(got.header.user) == ["@xy"]
+
+
 def test_alignment_files_by_format_or_ending(spark, tmp_path):
     frame = reads(spark, [{"qname": f"r{i}", "cigar": "4M", "seq": "ACGT", "qual": [30] * 4} for i in range(20)]).coalesce(1)
     for name, kind, compressed in (("a.bam", None, True), ("b.BAM", None, True), ("c.sam", None, False), ("d.txt", None, False), ("e", None, False), ("f.sam", "bam", True), ("g.bam", ".SAM", False)):
