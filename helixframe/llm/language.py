@@ -8,7 +8,6 @@ document is learned; where there are more than LANGUAGES, each has as much less
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +22,9 @@ from helixframe.llm.common import documents, in_arrow, slices
 #: Documents of each language that the model is fitted on, languages that have so many, and words and n-grams of each language that it keeps.
 SAMPLE, LANGUAGES, WORDS, GRAMS = 800, 64, 60_000, 40_000
 LONGEST = 5
-#: Runs of letters. What counts as numeric without being a letter (fractions, superscripts, Roman numerals) is left out.
-WORD = re.compile(r"[^\W\d_" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
+#: Runs of letters, and of what counts as numeric without being a digit or a letter (fractions, superscripts, Roman numerals), which few texts have. A
+#: class that names all of these is tried one by one at each letter.
+RUN = re.compile(r"[^\W\d_]+")
 CACHE = 400_000
 
 
@@ -32,6 +32,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case."""
+    runs = RUN.findall(text.lower()) if text else []
+    if "".join(runs).isalpha():
+        return runs
+    return [w for r in runs for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
+
+
 class Model:
     """score(word): log probabilities of a word in each language."""
 
@@ -40,6 +48,7 @@ class Model:
         self.languages = sorted(counts)
         self.words = self._table([counts[k][0] for k in self.languages])
         self.grams = {n: self._table([counts[k][1].get(n, Counter()) for k in self.languages]) for n in range(1, LONGEST + 1)}
+        #: Rows of words in scores; rows beyond them are room.
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.languages)), np.float32)
 
@@ -65,16 +74,22 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and the share of the likelihood it has; und and 0 without letters, or if nothing was learned."""
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not self.languages:
             return "und", 0.0
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-            self.scores = self.scores[:0]
+            self.scores = self.scores[:0].copy()
         if new := list(set(words).difference(cache)):
-            cache.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, np.array([self.score(w) for w in new], np.float32)])
+            start, end = len(cache), len(cache) + len(new)
+            if end > len(self.scores):
+                # with room for more, so that few texts move the rows of all words
+                more = np.empty((end + end // 2, len(self.languages)), np.float32)
+                more[:start] = self.scores[:start]
+                self.scores = more
+            self.scores[start:end] = [self.score(w) for w in new]
+            cache.update(zip(new, range(start, end), strict=True))
         total = self.scores[list(map(cache.__getitem__, words))].sum(0, dtype=float)
         p = np.exp(total - total.max())
         return self.languages[int(p.argmax())], float(p.max() / p.sum())
@@ -86,7 +101,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             own = found.setdefault(lang, [Counter()])
-            own[0].update(WORD.findall((text or "").lower()))
+            own[0].update(words_of(text))
     for lang, (words,) in found.items():
         grams = [words, *(Counter() for _ in range(LONGEST))]
         for w, k in words.items():

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -369,6 +371,35 @@ def test_numerals_are_no_letters(spark, small):
     assert [r.lang_pred == "und" for r in sorted(got)] == [True, True, True, False, False]
 
 
+def test_words_cost_what_their_runs_cost():
+    """Leaving numerals out costs little where there are none; it took 12 times as long as finding the runs."""
+    text = words(3000, 7).replace("w", "wörter") + " naïve élan" * 500
+
+    def seconds(f) -> float:
+        took = []
+        for _ in range(7):
+            start = time.process_time()
+            for _ in range(20):
+                f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert language.words_of("a½b Ⅷ ²x 三十 _ 12_3 É") == ["a", "b", "x", "三十", "é"] and language.words_of("½ 5") == language.words_of(None) == []
+    assert seconds(lambda: language.words_of(text)) < 4 * seconds(lambda: re.findall(r"[^\W\d_]+", text.lower()))
+
+
+def test_scores_of_words_are_rarely_moved():
+    """Texts with new words add rows; those of all words so far were copied for each text."""
+    m = language.Model({"a": (Counter({"hello": 5}), {1: Counter({"h": 5, "q": 1})}), "b": (Counter({"zzz": 9}), {1: Counter({"z": 20})})})
+    tables = [m.scores]
+    for i in range(500):
+        m.predict("hello q" + "".join(chr(97 + int(d)) for d in str(i)))
+        tables += [m.scores] if m.scores is not tables[-1] else []
+    assert len(m.cache) == 501 and len(tables) < 30
+    for w, k in m.cache.items():
+        assert (m.scores[k] == m.score(w)).all()
+
+
 def test_every_language_is_learned(spark):
     """More languages than have a whole sample each: all can be predicted."""
     rows = [(i, f"zork{chr(97 + i % 9)} flim{chr(97 + i % 9)} " * 8, f"l{i % 9}") for i in range(400)]
