@@ -194,19 +194,19 @@ def bucket_edges(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
 
 
-def answers(table: pa.Table, n_extras: int, f: Callable[[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray], np.ndarray], checked: bool = False) -> pa.Table:
+def answers(table: pa.Table, n_extras: int, f: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray], checked: bool = False) -> pa.Table:
     """A bucket's work. f gets for all blocks' entries, in the order of their hashes (and of blocks within): an entry's group (0, 1, ..), groups'
-    first places, the extras and the block; returns a byte for each entry. checked: the first extra is a second hash; entries are equal if both
+    first places and the extras; returns a byte for each entry. checked: the first extra is a second hash; entries are equal if both
     hashes are; f doesn't get it."""
-    table = table.sort_by("blk")
-    blks, keys, sizes = table.column("blk").to_numpy(), table.select(["blk", "bucket"]), []
+    rows, payload, sizes = np.argsort(table.column("blk").to_numpy(), kind="stable"), table.column("payload"), []
+    keys = table.select(["blk", "bucket"]).take(pa.array(rows))
     columns: list[list[np.ndarray]] = [[] for _ in range(n_extras + 1)]
-    for p in table.column("payload"):
-        hashes, extras = unpacked(p.as_buffer(), n_extras)
+    for i in rows.tolist():
+        hashes, extras = unpacked(payload[i].as_buffer(), n_extras)
         sizes.append(len(hashes))
         for kept, x in zip(columns, [hashes, *extras], strict=True):
             kept.append(x)
-    del table
+    del table, payload
     hashes, *extras = [np.concatenate(columns.pop(0)) for _ in range(n_extras + 1)]
     order = np.lexsort((extras[0], hashes)) if checked else np.argsort(hashes, kind="stable")
     hashes = hashes[order]
@@ -218,7 +218,7 @@ def answers(table: pa.Table, n_extras: int, f: Callable[[np.ndarray, np.ndarray,
         new[1:] |= extras[0][1:] != extras[0][:-1]
         extras = extras[1:]
     out = np.zeros(len(order), np.uint8)
-    out[order] = f(np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new), extras, np.repeat(blks, sizes)[order])
+    out[order] = f(np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new), extras)
     edges = np.cumsum([0, *sizes])
     return keys.append_column("answer", pa.array([out[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()))
 

@@ -156,7 +156,7 @@ def _signed(docs: DataFrame) -> tuple[DataFrame, int]:
         return sent(table.column("blk")[0].as_py(), hashes, [df], buckets)
 
     def count(table: pa.Table) -> pa.Table:
-        return answers(table, 1, lambda group, first, extras, blk: np.round(8 * np.log2(np.add.reduceat(extras[0].astype(np.int64), first).astype(float)))[group].astype(np.uint8))
+        return answers(table, 1, lambda group, first, extras: np.round(8 * np.log2(np.add.reduceat(extras[0].astype(np.int64), first).astype(float)))[group].astype(np.uint8))
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

@@ -16,6 +16,7 @@ functions instead, dealt by their own hash. Within a block, a stretch that occur
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from helixframe.llm.blocks import BASE, SEED, SEED2, TABLE, Dealt, answered, answers, bucket_edges, deal, hash_runs, mix, mix_two, powers, sent
+from helixframe.llm.blocks import BASE, SEED, SEED2, TABLE, Dealt, answered, answers, bucket_edges, deal, hash_runs, mix, mix_two, sent
 from helixframe.llm.common import documents
 
 LENGTH, GRAM, HOT = 200, 64, 4096
 PAD = 255  # no byte of UTF-8
-ROWS = 8192
+#: Rows that are laid out at once, and bytes that are hashed at once: a block's arrays of 64-bit numbers never exist as a whole.
+ROWS, PIECE = 2048, 1 << 18
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -42,6 +44,20 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
 
 
+def rolled(x: np.ndarray, n: int) -> np.ndarray:
+    """A polynomial of each n bytes in a row, modulo 2^64, put together from runs of 1, 2, 4, .. bytes."""
+    out, have, run, size = None, 0, TABLE[x], 1
+    with np.errstate(over="ignore"):
+        while True:
+            if n & size:
+                out = run if out is None else out[: len(out) - size] + run[have : have + len(out) - size] * np.uint64(pow(int(BASE), have, 1 << 64))
+                have += size
+            if have == n:
+                return out
+            run = run[:-size] + run[size:] * np.uint64(pow(int(BASE), size, 1 << 64))
+            size *= 2
+
+
 @dataclass
 class Bytes:
     """The texts of a block: raw, and the same as a buffer; first byte of each and one more; at: starts of windows within one text; mark: place of each window's mark."""
@@ -49,20 +65,27 @@ class Bytes:
     raw: bytes
     buffer: np.ndarray
     first: np.ndarray
-    sums: np.ndarray
     at: np.ndarray
     mark: np.ndarray
     length: int
     gram: int
 
     def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Of the n bytes at each place: rolled(), mixed."""
+        out = np.empty(len(at), np.uint64)
         with np.errstate(over="ignore"):
-            return mix((self.sums[at + n] - self.sums[at]) * powers(BASE, len(self.buffer))[1][at])
+            power = np.array([pow(int(BASE), i, 1 << 64) for i in range(n)], np.uint64)
+            for a in range(0, len(at), ROWS):
+                out[a : a + ROWS] = (TABLE[self.buffer[at[a : a + ROWS, None] + np.arange(n)]] * power).sum(1, dtype=np.uint64)
+            return mix(out)
 
     def wholes(self, at: np.ndarray, seed: np.uint64) -> np.ndarray:
         """Another hash of each window (at: ascending): nothing cancels out in it (see blocks)."""
-        if not len(at):
-            return np.zeros(0, np.uint64)
+        edges = np.searchsorted(at, np.arange(0, len(self.buffer) + PIECE, PIECE)).tolist()
+        parts = [self._wholes(at[a:z], seed) for a, z in zip(edges, edges[1:], strict=False) if z > a]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+    def _wholes(self, at: np.ndarray, seed: np.uint64) -> np.ndarray:
         if self.length < 8:
             return hash_runs(self.raw + bytes(8), at, at + self.length, seed)
         # only bytes of these windows are looked at: windows that overlap or touch make one stretch, stretches are put one behind the other
@@ -84,33 +107,35 @@ class Bytes:
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the marks, each once, and which of them is each window's."""
-        new = np.diff(self.mark, prepend=-1) != 0
-        return self.mark[new], np.cumsum(new) - 1
+        new = np.ones(len(self.mark), bool)
+        new[1:] = self.mark[1:] != self.mark[:-1]
+        return self.mark[new].astype(np.int64), np.cumsum(new, dtype=np.int32) - np.int32(1)
 
 
 def bytes_of(parts: list[bytes | None], length: int) -> Bytes:
     parts = [p or b"" for p in parts]
     raw, first = b"".join(parts), np.cumsum([0, *map(len, parts)])
     buffer = np.frombuffer(raw, np.uint8)
-    gram = min(GRAM, length)
-    up, down = powers(BASE, len(buffer))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[buffer] * up[: len(buffer)])])
-        if len(buffer) < length:
-            return Bytes(raw, buffer, first, sums, np.zeros(0, np.int64), np.zeros(0, np.int64), length, gram)
-        keys = (sums[gram:] - sums[:-gram]) * down[: len(buffer) - gram + 1]
-        keys ^= keys >> np.uint64(31)
-        keys *= np.uint64(0xBF58476D1CE4E5B9)
-    keys &= ~LOW
-    keys |= np.arange(len(keys), dtype=np.uint64)
-    least = sliding_least(keys, length - gram + 1)
-    starts = np.zeros(len(buffer) + 1, np.int32)
+    gram, windows = min(GRAM, length), max(0, len(buffer) - length + 1)
+    starts = np.zeros(len(buffer) + 1, np.int8)
     sizes = np.diff(first)
     ok = sizes >= length
     np.add.at(starts, first[:-1][ok], 1)
     np.add.at(starts, first[1:][ok] - length + 1, -1)
-    at = np.flatnonzero(np.cumsum(starts)[: len(least)] > 0)
-    return Bytes(raw, buffer, first, sums, at, (least[at] & LOW).astype(np.int64), length, gram)
+    inside = np.cumsum(starts, dtype=np.int8, out=starts)[:windows] > 0
+    at, mark = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a in range(0, windows, PIECE):
+        z = min(a + PIECE, windows)
+        keys = rolled(buffer[a : z + length - 1], gram)
+        with np.errstate(over="ignore"):
+            keys ^= keys >> np.uint64(31)
+            keys *= np.uint64(0xBF58476D1CE4E5B9)
+        keys &= ~LOW
+        keys |= np.arange(len(keys), dtype=np.uint64)
+        least, here = sliding_least(keys, length - gram + 1), np.flatnonzero(inside[a:z])
+        at.append((here + a).astype(np.int32))
+        mark.append(((least[here] & LOW).astype(np.int64) + a).astype(np.int32))
+    return Bytes(raw, buffer, first, np.concatenate(at), np.concatenate(mark), length, gram)
 
 
 def transform(stretches: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -179,7 +204,7 @@ class Repeats:
 
     def count(self, table: pa.Table) -> pa.Table:
         """1: the mark repeats; 2: it has more than HOT occurrences."""
-        def grade(group: np.ndarray, first: np.ndarray, extras: list[np.ndarray], blk: np.ndarray) -> np.ndarray:
+        def grade(group: np.ndarray, first: np.ndarray, extras: list[np.ndarray]) -> np.ndarray:
             n = np.add.reduceat(extras[0].astype(np.int64), first)[group]
             return (n > 1).astype(np.uint8) + (n > self.hot)
 
@@ -199,12 +224,13 @@ class Repeats:
 
     def merge(self, table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= self.buckets:
-            return answers(table, 2, lambda group, first, extras, blk: (np.add.reduceat(extras[0].astype(np.int64), first)[group] > 1).astype(np.uint8), checked=True)
-        table = table.sort_by("blk")
-        shards = [np.frombuffer(p.as_buffer(), np.uint8).reshape(self.width, -1) for p in table.column("payload")]
+            return answers(table, 2, lambda group, first, extras: (np.add.reduceat(extras[0].astype(np.int64), first)[group] > 1).astype(np.uint8), checked=True)
+        rows, payload = np.argsort(table.column("blk").to_numpy(), kind="stable"), table.column("payload")
+        shards = [np.frombuffer(payload[i].as_buffer(), np.uint8).reshape(self.width, -1) for i in rows.tolist()]
         edges = np.cumsum([0, *(x.shape[1] for x in shards)]).tolist()
         bits = np.packbits(merged(shards, self.length).T, axis=1)
-        return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "answer": pa.array([bits[a:z].tobytes() for a, z in zip(edges, edges[1:], strict=False)], pa.binary())})
+        keys = table.select(["blk", "bucket"]).take(pa.array(rows))
+        return pa.table({"blk": keys.column("blk"), "bucket": keys.column("bucket"), "answer": pa.array([bits[a:z].tobytes() for a, z in zip(edges, edges[1:], strict=False)], pa.binary())})
 
     def gone(self, left: pa.Table, right: pa.Table) -> tuple[Bytes, np.ndarray]:
         """The bytes of a block, and whether each goes."""
@@ -216,7 +242,7 @@ class Repeats:
         edge = np.zeros(len(b.buffer) + 1, np.int32)
         edge[at] += 1
         edge[at + self.length] -= 1
-        return b, np.cumsum(edge)[:-1] > 0
+        return b, np.cumsum(edge, dtype=np.int32, out=edge)[:-1] > 0
 
 
 class Candidates:
@@ -229,18 +255,18 @@ class Candidates:
         grade = answer[np.unique(r.short(hashes), return_inverse=True)[1]] if len(places) else np.zeros(0, np.uint8)
         self.hot = b.at[grade[own] == 2] if len(places) else b.at
         keep = np.flatnonzero(grade == 1)
-        low = b.at[np.searchsorted(own, keep)] if len(keep) else np.zeros(0, np.int64)
-        high = b.at[np.searchsorted(own, keep, side="right") - 1] if len(keep) else low
+        low = b.at[np.searchsorted(own, keep)].astype(np.int64) if len(keep) else np.zeros(0, np.int64)
+        high = b.at[np.searchsorted(own, keep, side="right") - 1].astype(np.int64) if len(keep) else low
         mark = places[keep]
+        a, z, m = low.tolist(), (high + r.length).tolist(), mark.tolist()
+        whole = np.array([zlib.crc32(b.raw[x:y]) for x, y in zip(a, z, strict=True)], np.uint64)
         with np.errstate(over="ignore"):
-            whole = (b.sums[high + r.length] - b.sums[low]) * powers(BASE, len(b.buffer))[1][low]
-            key = mix(mix(whole) + (mark - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            key = mix(mix(whole ^ hashes[keep]) + (mark - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         bucket = np.searchsorted(bucket_edges(r.buckets), hashes[keep], side="right") - 1
         order = np.lexsort((key, bucket))
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         # equal keys are looked into: stretches are the same only if their bytes and the place of the mark are
-        a, z, m = low.tolist(), (high + r.length).tolist(), mark.tolist()
         for i in np.flatnonzero(~new).tolist():
             x, y = int(order[i - 1]), int(order[i])
             new[i] = m[x] - a[x] != m[y] - a[y] or b.raw[a[x] : z[x]] != b.raw[a[y] : z[y]]
@@ -279,12 +305,15 @@ class Candidates:
         starts = self.r.lead + 1
         bits = np.unpackbits(merged_bits.reshape(-1, -(-starts // 8)), axis=1, count=starts).astype(bool)
         bits |= self.often[:, None]
-        n = self.high - self.low + 1
-        of = np.repeat(np.arange(len(n)), n)
-        at = np.repeat(self.low - (np.cumsum(n) - n), n) + np.arange(len(of))
-        found = at[bits[self.which[of], self.r.lead - (self.mark[of] - at)]] if len(of) else at
+        found = [np.zeros(0, np.int64)]
+        for a in range(0, len(self.low), ROWS):
+            low, mark, which = (x[a : a + ROWS] for x in (self.low, self.mark, self.which))
+            n = self.high[a : a + ROWS] - low + 1
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(of))
+            found.append(at[bits[which[of], self.r.lead - (mark[of] - at)]])
         hot = self.hot[hot_answer[self.hot_hashes()[2]] > 0] if len(self.hot) else self.hot
-        return np.concatenate([found, hot]).astype(np.int64)
+        return np.concatenate([*found, hot])
 
 
 def _both(dealt: Dealt, r: Repeats) -> DataFrame:

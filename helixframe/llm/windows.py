@@ -99,10 +99,10 @@ def judged(dealt: Dealt, bits: int, length: int = WORDS) -> DataFrame:
         return run
 
     def count(table: pa.Table) -> pa.Table:
-        return answers(table, 1, lambda group, first, extras, blk: (np.add.reduceat(extras[0].astype(np.int64), first) > 1).astype(np.uint8)[group])
+        return answers(table, 1, lambda group, first, extras: (np.add.reduceat(extras[0].astype(np.int64), first) > 1).astype(np.uint8)[group])
 
     def earliest(table: pa.Table) -> pa.Table:
-        def first_of(group: np.ndarray, first: np.ndarray, extras: list[np.ndarray], blk: np.ndarray) -> np.ndarray:
+        def first_of(group: np.ndarray, first: np.ndarray, extras: list[np.ndarray]) -> np.ndarray:
             ids = extras[0].astype(np.uint64) + extras[1]
             least = np.minimum.reduceat(ids, first)
             tied = ids == least[group]

@@ -5,17 +5,19 @@ from __future__ import annotations
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from helixframe.llm import binary_store, bpe, language, lines, minhash, packing, quality, queries, repeats, topk, windows
+from helixframe.llm import binary_store, blocks, bpe, language, lines, minhash, packing, quality, queries, repeats, topk, windows
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -164,6 +166,23 @@ def test_whole_windows_hash_alike_alone_and_among_others():
             assert len(set(got.tolist())) == len({text[a : a + length] for a in at.tolist()})
 
 
+def test_a_block_takes_little_memory():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(2, 9)), dtype=np.uint8)).decode() for _ in range(5000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 5000, 300).tolist()) for _ in range(700)]
+    texts += [texts[i] + " " + texts[i + 1] for i in range(250)]
+    size = sum(map(len, texts))
+    table = pa.table({"blk": pa.array([0] * len(texts), pa.int64()), "text": texts})
+    r = repeats.Repeats(blocks.Dealt(None, 1, 1, size), 200)
+    marks = r.count(r.send_marks(table))
+    for step in (lambda: r.send_marks(table), lambda: r.send_stretches(table, marks)):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30 * size
+
+
 def test_without_repeats_keeps_columns(edge):
     out = repeats.without_repeats(edge)
     assert out.columns == edge.columns and out.schema.simpleString() == edge.schema.simpleString()
