@@ -105,7 +105,7 @@ def run(reads: DataFrame, header: Header, o: Options) -> Result:
         header = replace(header, user={k: v for k, v in header.user.items() if k != "@sr"})
     tables = o.tables
     if o.bqsr in ("full", "tables"):
-        tables = recalibration.tables(recalibration.observations(reads, dictionary(), groups, o.reference, o.known_sites, max_cycle=o.max_cycle))
+        tables = recalibration.counted_tables(reads, dictionary(), groups, o.reference, o.known_sites, max_cycle=o.max_cycle)
     if o.bqsr in ("full", "apply"):
         reads = recalibration.applied(reads, groups, tables, o.levels, o.static_levels, o.max_cycle)
     reads = filters.without_duplicates(reads) if o.remove_duplicates else reads

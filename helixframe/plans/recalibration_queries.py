@@ -12,46 +12,26 @@ from helixframe.plans import views as V
 KNOWN = 270_000
 
 
-def _observed(s, d):
-    return B.observations(V.reads(s, d), V.dictionary(s), V.read_groups(s), V.reference(s), V.sites(s, d, KNOWN))
+def _all(s, d):
+    return V.reads(s, d), V.dictionary(s), V.read_groups(s), V.reference(s), V.sites(s, d, KNOWN)
 
 
 def _tables(s, d):
-    return B.tables(_observed(s, d))
+    return B.counted_tables(*_all(s, d))
 
 
 def _eligible(s, d):
     return filters.recalibratable(V.reads(s, d), V.dictionary(s))
 
 
-def _clipped(s, d):
-    r = B.clipped(_eligible(s, d))
-    return r.select("idx", F.size("bases").cast("long").alias("n"), F.aggregate("bases", F.lit(0).cast("long"), lambda a, x: a + x["p"] * x["q"]).alias("pq"), F.array_join(F.transform("bases", lambda x: x["s"]), "").alias("letters"))
-
-
-def _cycles(s, d):
-    r = B.clipped(_eligible(s, d))
-    c = F.transform("bases", lambda x, i: B.cycle(i, F.size("bases")))
-    return r.select("idx", F.get(c, F.lit(0)).cast("int").alias("first_cycle"), F.element_at(c, -1).cast("int").alias("last_cycle"))
-
-
-def _contexts(s, d):
-    r = B.clipped(_eligible(s, d))
-    return r.select("idx", F.explode(B.contexts(F.col("bases"))).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").cast("long").alias("sum_idx"))
-
-
-def _mismatches(s, d):
-    return _observed(s, d).groupBy("idx").agg(F.count(F.lit(1)).alias("bases"), F.sum(F.when(F.col("mismatch"), 1).otherwise(0)).cast("long").alias("mismatches"))
-
-
 def _applied(s, d):
     out = B.applied(V.reads(s, d), V.read_groups(s), _tables(s, d))
-    return out.select("idx", F.array_join(F.transform("qual", lambda q: q.cast("string")), ",").alias("qual"))
+    return out.select("idx", F.array_join(F.col("qual").cast("array<string>"), ",").alias("qual"))
 
 
 def _applied_static(s, d):
     out = B.applied(V.reads(s, d), V.read_groups(s), _tables(s, d), static=(10, 20, 30))
-    return out.select("idx", F.array_join(F.transform("qual", lambda q: q.cast("string")), ",").alias("qual"))
+    return out.select("idx", F.array_join(F.col("qual").cast("array<string>"), ",").alias("qual"))
 
 
 def _quantized(s, d):
@@ -67,7 +47,7 @@ def _merged(s, d):
 def _adaptor(s, d):
     """Template sizes changed so that some reads have run into their adaptor."""
     r = _eligible(s, d).withColumn("tlen", F.when(F.col("tlen") > 0, 10 + F.col("k") % 60).otherwise(-10 - F.col("k") % 60)).withColumn("pnext", (F.col("pos") + F.when(C.some(16), 20).otherwise(5)).cast("int"))
-    return B.clipped(r).select("idx", F.size("bases").cast("long").alias("n"))
+    return B.clipped_bases(r).select("idx", "n")
 
 
 E = f"""r AS ({V.reads_sql()}),
@@ -125,11 +105,11 @@ _ADAPTOR_SQL = """SELECT idx, count(*) FILTER (NOT soft AND NOT gone) AS n FROM
  (flag & 1) <> 0 AND (flag & 12) = 0 AND ((flag & 16) <> 0) <> ((flag & 32) <> 0) AS paired FROM bases) y) z GROUP BY idx"""
 
 QUERIES = {
-    "recalibration_clip": _clipped,
+    "recalibration_clip": lambda s, d: B.clipped_bases(_eligible(s, d)),
     "adaptor_clip": _adaptor,
-    "bqsr_cycle": _cycles,
-    "bqsr_context": _contexts,
-    "bqsr_mismatch": _mismatches,
+    "bqsr_cycle": lambda s, d: B.end_cycles(_eligible(s, d)),
+    "bqsr_context": lambda s, d: B.counted_contexts(_eligible(s, d)),
+    "bqsr_mismatch": lambda s, d: B.counted_mismatches(*_all(s, d)),
     "bqsr_tables": _tables,
     "bqsr_merge": _merged,
     "bqsr_combined": lambda s, d: B.combined(_tables(s, d)).select("read_group", "observations", "mismatches", F.round("reported", 9).alias("reported")),

@@ -345,3 +345,53 @@ def test_splitting_rejects_unknown_contigs(spark):
     with pytest.raises(Exception, match="not in the header"):
         splitting.split(reads(spark, [{"rname": "zz"}]), splitting.contig_groups([("c", 10)])).collect()
     assert splitting.contig_groups([("a", 5), ("b", 5), ("c", 20), ("d", 1)], 10) == {"*": "unmapped", "a": "group00001", "b": "group00001", "c": "group00002", "d": "group00003"}
+
+
+def _few_reads(spark):
+    """Reads with clips, insertions, deletions, adaptor, missing letters and letters that are none of ACGT."""
+    rows = [(i, f"r{i}", (99, 147, 0, 16)[i % 4], "c", 1 + (i * 37) % 150, 60, ("50M", "4S46M", "20M3I27M", "25M2D25M", "45M5S")[i % 5], "=", 1 + (i * 11) % 150, (60, -60, 0, 90)[i % 4], ("ACGTN" * 10 if i % 7 == 0 else "ACGGTCATTA" * 5), [(i * 5 + j * 7) % 42 for j in range(50)], [{"k": "RG", "t": "Z", "v": f"g{i % 2}"}]) for i in range(300)]
+    reference = spark.createDataFrame([("c", k, "".join("ACGT"[(p * p + k) % 4] for p in range(100))) for k in range(3)], "contig string, chunk int, bases string")
+    return spark.createDataFrame(rows, READ).repartition(3), spark.createDataFrame([(0, "c", 300)], "refid int, sn string, ln int"), spark.createDataFrame([("g0", "l", "u", "s"), ("g1", "l", None, "s")], "id string, lb string, pu string, sm string"), reference
+
+
+def test_tables_counted_in_tasks_equal_those_of_bases(spark, monkeypatch):
+    reads, d, groups, reference = _few_reads(spark)
+    near = spark.createDataFrame([("c", a, a + 1 + a % 4) for a in range(0, 310, 9)] * 3, "chrom string, start int, end int")
+    for sites in (None, near):
+        base = recalibration.observations(reads, d, groups, reference, sites, 100)
+        ordered = lambda x: sorted(map(str, x.select(*sorted(x.columns)).collect()))
+        assert ordered(recalibration.tables(base)) == ordered(recalibration.counted_tables(reads, d, groups, reference, sites, 100))
+        of_reads = base.groupBy("idx").agg(F.count(F.lit(1)).alias("bases"), F.sum(F.col("mismatch").cast("int")).cast("long").alias("mismatches"))
+        assert ordered(of_reads) == ordered(recalibration.counted_mismatches(reads, d, groups, reference, sites, 100))
+        known = {p for r in (sites.collect() if sites is not None else []) for p in range(r.start, r.end + 1)}
+        assert base.count() > 5000 and (sites is None or len(known) > 100)
+
+
+def test_likelihoods_summed_in_tasks_equal_those_of_elements(spark):
+    reads, _, _, reference = _few_reads(spark)
+    pile = pileup.elements(reads, reference, 100)
+    close = lambda x: {(r.contig, r.pos): tuple(round(v, 8) for v in r[2:]) for r in x.collect()}
+    for alt, least in (("alt_before", 10), ("alt", 6)):
+        assert close(pileup.reference_or_any(pile, alt, least)) == close(pileup.likelihoods(reads, reference, alt, least, 100))
+    want = pile.groupBy("contig", "pos", "ref").pivot("base", ["A", "C", "G", "T"]).count().na.fill(0).collect()
+    assert sorted(map(tuple, want)) == sorted(map(tuple, pileup.allele_counts(reads, reference, 100).collect()))
+    want = pile.groupBy("contig", "pos").agg(F.count(F.lit(1)), F.sum(F.col("alt").cast("int")), F.sum("qual")).collect()
+    assert sorted(map(tuple, want)) == sorted(map(tuple, pileup.depths(reads, reference, 100).collect()))
+
+
+def test_sums_are_handed_out_when_full():
+    import numpy as np
+
+    from helixframe.operators.kernels import bases
+
+    sums, seen = bases.Sums(most=100), {}
+    for i in range(50):
+        code = np.arange(i, i + 30) * (1 << 20 if i % 2 else 1)
+        sums.add(*bases.summed(code, [None, code * 0.5]))
+        if sums.full() or i == 49:
+            codes, (n, half) = sums.taken()
+            assert sums.held == 0 and len(codes) <= 130
+            for c, x, h in zip(codes.tolist(), n.tolist(), half.tolist(), strict=True):
+                seen[c] = seen.get(c, 0) + x
+                assert h == c * 0.5 * x
+    assert sum(seen.values()) == 1500 and sums.taken() is None
