@@ -19,8 +19,8 @@ def flattened(intervals: DataFrame) -> DataFrame:
     """chrom, start, end: the fewest intervals that cover the same. Those that touch at a point are joined, neighbours that don't stay
     apart ([2,3] and [4,5]).
 
-    An interval opens an island if its start lies beyond all ends before it. Equal rows and rows within one bin are reduced first, map-side, so
-    what a contig's window sorts are islands of bins and not single rows."""
+    An interval opens an island if its start lies beyond all ends before it. Of intervals with one start the longest stands for all, so that no order is left open; these are
+    found map-side. Rows within one bin are reduced next, so what a contig's window sorts are islands of bins and not single rows."""
     within = Window.partitionBy("chrom", "__bin").orderBy("start", "end")
     across = Window.partitionBy("chrom").orderBy("start", "end")
 
@@ -29,7 +29,8 @@ def flattened(intervals: DataFrame) -> DataFrame:
         marked = rows.withColumn("__new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return marked.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
-    binned = intervals.select("chrom", "start", "end").where(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("__bin", F.floor(F.col("start") / (BIN * 64)))
+    longest = intervals.where(F.col("start").isNotNull() & F.col("end").isNotNull()).groupBy("chrom", "start").agg(F.max("end").alias("end"))
+    binned = longest.withColumn("__bin", F.floor(F.col("start") / (BIN * 64)))
     return islands(islands(binned, within, ["chrom", "__bin"]).drop("__bin"), across, ["chrom"])
 
 
@@ -50,10 +51,11 @@ def overlapping(rows: DataFrame, regions: DataFrame, chrom: str, start: str, end
     keyed = rows.withColumn("__bins", F.sequence(one_bin, last_bin))
     single = keyed.where(F.size("__bins") == 1).withColumn("__bin1", F.get("__bins", F.lit(0)))
     found = single.join(near, (F.col(chrom) == F.col("__chrom")) & (F.col("__bin1") == F.col("__bin")) & hit, "left_semi").drop("__bin1")
-    longer = keyed.where(F.size("__bins") > 1).withColumn("__id", F.monotonically_increasing_id())
-    ids = longer.select("__id", F.col(chrom).alias("__c"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.explode("__bins").alias("__bin1"))
-    reached = ids.join(near, (F.col("__c") == F.col("__chrom")) & (F.col("__bin1") == F.col("__bin")) & (F.col("__from") < F.col("__e")) & (F.col("__to") >= F.col("__s")), "left_semi").select("__id").distinct()
-    return found.unionByName(longer.join(reached, "__id", "left_semi").drop("__id")).drop("__bins")
+    longer = keyed.where(F.size("__bins") > 1)
+    # named by what the answer depends on: numbers given to rows here would be given twice, and not in one order, as these rows are computed for both sides of the join
+    spans = longer.select(F.col(chrom).alias("__c"), F.col(start).alias("__s"), F.col(end).alias("__e"), "__bins").distinct().select("__c", "__s", "__e", F.explode("__bins").alias("__bin1"))
+    reached = spans.join(near, (F.col("__c") == F.col("__chrom")) & (F.col("__bin1") == F.col("__bin")) & (F.col("__from") < F.col("__e")) & (F.col("__to") >= F.col("__s")), "left_semi").select("__c", "__s", "__e").distinct()
+    return found.unionByName(longer.join(reached, (F.col(chrom) == F.col("__c")) & (F.col(start) == F.col("__s")) & (F.col(end) == F.col("__e")), "left_semi")).drop("__bins")
 
 
 def overlaps(queries: DataFrame, regions: DataFrame) -> DataFrame:
